@@ -5,18 +5,18 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from staylens.functions.text import text_hash
 from staylens.operators.filters import align, with_provenance
+from staylens.schemas import table
 
 # Columns of the unified review and city tables.
-REVIEW_COLUMNS = StructType.fromDDL("""
-    id bigint, hotel_id string, source_review_id string, insert_id string, review_text string,
+REVIEW_COLUMNS = table("""
+    id long, hotel_id string, source_review_id string, insert_id string, review_text string,
     reviewer_name string, reviewer_location string, rating double, review_date timestamp,
     google_maps_uri string, photo_name string
 """)
-CITY_COLUMNS = StructType.fromDDL("city string, country string, continent string")
+CITY_COLUMNS = table("city string, country string, continent string")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

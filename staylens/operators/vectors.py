@@ -171,6 +171,8 @@ def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool
             if n == 0:
                 continue
             ids = batch["id"].to_numpy(zero_copy_only=False)
+            if ids.dtype == object:
+                ids = ids.astype(str)
             vectors = _matrix(batch["embedding"])
             arrays = {}
             if restricted:

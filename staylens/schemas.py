@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
+
+
+def table(columns: str) -> StructType:
+    """Schema of ``name type`` pairs; needs no running session."""
+    out = StructType()
+    for column in columns.split(","):
+        name, kind = column.split()
+        out = out.add(name, kind)
+    return out
+
 
 # Column names and types of the row store.
-HOTEL = T.StructType.fromDDL("""
-    id bigint, hotel_id string, source string, source_hotel_id string, name string,
+HOTEL = table("""
+    id long, hotel_id string, source string, source_hotel_id string, name string,
     city string, country string, latitude double, longitude double, street_address string,
     postal_code string, phone string, website string, email string, amadeus_rating double,
     google_rating double, tripadvisor_rating double, booking_rating double,
     recommended boolean, admin_flag boolean, quality boolean, quiet boolean,
-    important_note string, type string, dupe_id bigint, iata_code string,
+    important_note string, type string, dupe_id long, iata_code string,
     address_json string, geo_code_json string, distance_json string, last_update string,
-    created_at timestamp, updated_at timestamp, state_code string, number_of_reviews int,
-    number_of_ratings int, overall_rating double, sentiments string
+    created_at timestamp, updated_at timestamp, state_code string, number_of_reviews integer,
+    number_of_ratings integer, overall_rating double, sentiments string
 """)
 
-REVIEW = T.StructType.fromDDL("""
-    id int, hotel_id string, source string, source_review_id string, reviewer_name string,
+REVIEW = table("""
+    id integer, hotel_id string, source string, source_review_id string, reviewer_name string,
     reviewer_location string, rating double, review_text string, review_date timestamp,
-    verified boolean, helpful_count int, room_type string, travel_type string,
+    verified boolean, helpful_count integer, room_type string, travel_type string,
     stay_date timestamp, created_at timestamp, updated_at timestamp,
     google_maps_uri string, photo_name string, insert_id string
 """)
 
-AIRPORT_CITY = T.StructType.fromDDL(
-    "iata_code string, name string, country string, airport_count int, country_codes string"
+AIRPORT_CITY = table(
+    "iata_code string, name string, country string, airport_count integer, country_codes string"
 )
-CITY = T.StructType.fromDDL("name string, country string, continent string")
-AIRPORT = T.StructType.fromDDL("""
+CITY = table("name string, country string, continent string")
+AIRPORT = table("""
     id string, name string, city string, country string, iata string, icao string, lat string,
     lon string, altitude string, timezone string, dst string, tz_db string, type string,
     source string
 """)
-UNAVAILABLE_HOTEL = T.StructType.fromDDL("id bigint, hotel_id string, created_at timestamp")
+UNAVAILABLE_HOTEL = table("id long, hotel_id string, created_at timestamp")
 
 # Payload shapes of the providers.
 HOTEL_LIST_PAYLOAD = """struct<data: array<struct<
