@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "scalars", "merging", "extraction"]
+MODULES = [
+    "relational", "scalars", "merging", "extraction", "retrieval", "telemetry", "storage",
+]
 
 
 def load() -> tuple[dict, dict]:

@@ -360,9 +360,9 @@ def _(t: Tables):
 
 @query("p12_extract_text", f"""
     with parts as (select page_id, list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1),
-            x -> {trimmed("regexp_replace(x, '(?s)<[^>]*>', '', 'g')")}) as texts from {{pages}})
-    select page_id, array_to_string(list_filter(texts, x -> x <> ''), chr(10)) as review_text
-    from parts where len(list_filter(texts, x -> x <> '')) > 0""")
+            lambda x: {trimmed("regexp_replace(x, '(?s)<[^>]*>', '', 'g')")}) as texts from {{pages}})
+    select page_id, array_to_string(list_filter(texts, lambda x: x <> ''), chr(10)) as review_text
+    from parts where len(list_filter(texts, lambda x: x <> '')) > 0""")
 def _(t: Tables):
     return pages.extract_text(t.pages, "page_id")
 

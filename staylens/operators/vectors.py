@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from staylens.functions.text import words
 from staylens.functions.vectors import has_vector
+from staylens.session import shared_dir
 
 # Fixed values of the index and of chunking.
 CHUNK_TOKENS = 512
@@ -32,7 +33,7 @@ METRICS = ("cosine", "dot", "euclidean")
 RESTRICT_COLUMNS = ("continent", "city", "country", "rating")
 
 # Bounds on what is shipped to tasks.
-BLOCK_BYTES = 64 << 20
+BLOCK_ROWS = 4096
 MAX_LEAVES = 4096
 TRAIN_ROWS_PER_LEAF = 256
 
@@ -220,36 +221,30 @@ def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool
     )
 
 
-def _block_rows(queries: DataFrame, block_bytes: int) -> int:
-    """Queries per block, from the length of their vectors."""
-    first = queries.select(F.size("embedding").alias("n")).head()
-    return max(1, block_bytes // (8 * max(1, first["n"]))) if first else 1
-
-
-def _blocks(queries: DataFrame, restricted: bool, block_bytes: int) -> Iterator[_Block]:
-    """Query blocks of bounded size.
+def _blocks(queries: DataFrame, restricted: bool, rows: int) -> Iterator[_Block]:
+    """Query blocks of at most ``rows`` queries.
 
     One block is fetched with a row limit. Only when the limit is exceeded are
-    the queries spread over hash buckets, small enough that none outgrows a block.
+    the queries written once, in hash buckets, and read back bucket by bucket.
     """
-    if "embedding" in queries.columns:
-        queries = queries.filter(has_vector(F.col("embedding")))
-    rows = _block_rows(queries, block_bytes)
+    queries = queries.filter(has_vector(F.col("embedding")))
     table = queries.limit(rows + 1).toArrow()
     if table.num_rows <= rows:
         if table.num_rows:
             yield _Block(table, restricted)
         return
+    spark = queries.sparkSession
     total = queries.count()
     buckets = -(-2 * total // rows)
-    spread = queries.withColumn("_bucket", F.pmod(F.xxhash64("query_id"), F.lit(buckets)))
-    for bucket in range(buckets):
-        # Distinct query ids spread evenly; a larger bucket is split in sequence.
-        for part in spread.filter(F.col("_bucket") == bucket).drop("_bucket").toArrow().to_batches(
-            max_chunksize=rows
-        ):
-            if part.num_rows:
-                yield _Block(pa.Table.from_batches([part]), restricted)
+    folder = shared_dir(spark, "queries")
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(buckets))
+    queries.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(folder)
+    stored = spark.read.parquet(folder)
+    for number in range(buckets):
+        part = stored.filter(F.col("_bucket") == number).drop("_bucket").toArrow()
+        # Query ids are distinct, so a bucket holds about half a block.
+        for start in range(0, part.num_rows, rows):
+            yield _Block(part.slice(start, rows), restricted)
 
 
 def _top(candidates: DataFrame, k: int, metric: str) -> DataFrame:
@@ -260,12 +255,12 @@ def _top(candidates: DataFrame, k: int, metric: str) -> DataFrame:
 
 
 def _search(items: DataFrame, queries: DataFrame, k: int, metric: str, restricted: bool,
-            block_bytes: int) -> DataFrame:
+            block_rows: int) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     usable = items.filter(has_vector(F.col("embedding")))
     parts = []
-    for block in _blocks(queries, restricted, block_bytes):
+    for block in _blocks(queries, restricted, block_rows):
         part = usable
         if block.leaves is not None:
             probed = sorted({leaf for leaves in block.leaves for leaf in leaves})
@@ -279,17 +274,17 @@ def _search(items: DataFrame, queries: DataFrame, k: int, metric: str, restricte
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS, metric: str = "dot",
-        block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top k of every query: ``query_id, id, distance, rank``.
 
     ``distance`` is the similarity for ``dot`` and ``cosine`` (largest first)
     and the distance for ``euclidean`` (smallest first).
     """
-    return _search(items, queries.select("query_id", "embedding"), k, metric, False, block_bytes)
+    return _search(items, queries.select("query_id", "embedding"), k, metric, False, block_rows)
 
 
 def knn_filtered(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS,
-                 metric: str = "dot", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 metric: str = "dot", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top k among the items each query's restricts admit.
 
     Queries carry continent, city, country, rating and the two filter flags.
@@ -297,7 +292,7 @@ def knn_filtered(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOU
     needed = queries.select(
         "query_id", "embedding", *RESTRICT_COLUMNS, "filter_rating", "filter_city_country"
     )
-    return _search(items, needed, k, metric, True, block_bytes)
+    return _search(items, needed, k, metric, True, block_rows)
 
 
 def ann_build(items: DataFrame, leaf_size: int = LEAF_SIZE, max_leaves: int = MAX_LEAVES,
@@ -326,7 +321,7 @@ def ann_build(items: DataFrame, leaf_size: int = LEAF_SIZE, max_leaves: int = MA
 
 def ann_query(index: DataFrame, centres: np.ndarray, queries: DataFrame,
               k: int = DEFAULT_NEIGHBOURS, share: float = LEAF_SHARE, min_leaves: int = 1,
-              metric: str = "dot", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+              metric: str = "dot", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top k: only the leaves whose centres score best are searched."""
     probes = min(len(centres), max(min_leaves, int(np.ceil(share * len(centres)))))
 
@@ -340,6 +335,6 @@ def ann_query(index: DataFrame, centres: np.ndarray, queries: DataFrame,
     routed = queries.filter(has_vector(F.col("embedding"))).select(
         "query_id", "embedding", nearest("embedding").alias("_leaves")
     )
-    return _search(index, routed, k, metric, False, block_bytes)
+    return _search(index, routed, k, metric, False, block_rows)
 
 
