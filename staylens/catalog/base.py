@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +13,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+@lru_cache(maxsize=8)
+def tables_for(spark: SparkSession, folder: str) -> Tables:
+    """Tables of a folder; their plans are shared by the queries of a session."""
+    return Tables(spark, folder)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under a name, with the SQL of the same result."""
 
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"registered twice: {name}")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(tables_for(spark, folder))
         if sql is not None:
             SQL[name] = with_tables(sql)
         return fn

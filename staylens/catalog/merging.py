@@ -50,8 +50,7 @@ DERIVED.update({
     "photos": """
         select c_custkey as pos, s_name as hotel_name, cast(s_suppkey as string) as hotel_id,
             case when c_custkey % 3 = 0 then '' else 'new/' || c_custkey end as photo_name
-        from {customer} join {supplier}
-            on s_suppkey = c_custkey % (select count(*) from {supplier})""",
+        from {customer} join {supplier} on s_suppkey = cast(floor(c_custkey / 20) as bigint)""",
 })
 
 

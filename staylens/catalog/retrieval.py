@@ -7,8 +7,7 @@ import json
 from pyspark.sql import DataFrame, Window, functions as F
 
 from staylens.catalog.base import query
-from staylens.catalog.tables import DERIVED, MODELS, Tables, trimmed
-from staylens.functions.text import WHITE
+from staylens.catalog.tables import DERIVED, MODELS, WHITE, Tables, trimmed
 from staylens.functions.vectors import hashing_embedder, l2_normalise, mean_vectors
 from staylens.operators import filters, joins, retrieval, vectors
 from staylens.operators.registry import complete_with, default_registries

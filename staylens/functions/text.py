@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Character classes and patterns shared by several operators.
-WHITE = (
-    r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = r"(?U)\s"
+WHITE_CHARS = (
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 HASH_SPACES = r"[\t\n\f\r ]+"
 FIRST_PART = r"^[^,]+"
@@ -21,7 +23,7 @@ FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def trim_ws(c: Column) -> Column:
     """Trim every white-space character, not only U+0020."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def norm_key(c: Column) -> Column:
@@ -130,4 +132,4 @@ def normalise_text(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words of a text."""
-    return F.filter(F.split(c, f"{WHITE}+"), lambda w: w != "")
+    return F.array_remove(F.split(trim_ws(c), f"{WHITE}+"), "")

@@ -52,11 +52,9 @@ def chunk(df: DataFrame, max_tokens: int = CHUNK_TOKENS, text: str = "review_tex
     size = words_per_chunk(max_tokens)
     kept = [c for c in df.columns if c != text]
     split = df.withColumn("_w", words(F.col(text)))
-    starts = F.sequence(F.lit(1), F.size("_w"), F.lit(size))
+    starts = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"), F.lit(size)))
     chunks = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, size), " "))
-    return split.filter(F.size("_w") > 0).select(
-        *kept, F.posexplode(chunks).alias("chunk_index", "chunk")
-    )
+    return split.select(*kept, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 
 def vector_docs(chunks: DataFrame, metadata: list[str], id_col: str = "id") -> DataFrame:

@@ -12,6 +12,16 @@ def scan(spark: SparkSession, folder: str, table: str, schema: StructType | None
     return reader.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan with fewer splits than cores.
+
+    Only for scans: a table of many files already has enough splits and is
+    returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int],
               parts: int = 64) -> DataFrame:
     """A row-store table read in parallel key ranges."""
