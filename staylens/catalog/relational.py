@@ -553,6 +553,11 @@ def _(t: Tables):
     return windows.slice_rows(t.hotels_b, ["hotel_id"], 537, 2400).select("hotel_id", "name")
 
 
+@query("o5_offset", "select hotel_id, name from {hotels_b} order by hotel_id offset 537")
+def _(t: Tables):
+    return windows.slice_rows(t.hotels_b, ["hotel_id"], 537).select("hotel_id", "name")
+
+
 # --- set operations ---------------------------------------------------------
 
 

@@ -32,8 +32,9 @@ LEAF_SHARE = 0.05
 METRICS = ("cosine", "dot", "euclidean")
 RESTRICT_COLUMNS = ("continent", "city", "country", "rating")
 
-# Bounds on what is shipped to tasks.
+# Bounds on what is shipped to tasks, and on the item rows of one matrix product.
 BLOCK_ROWS = 4096
+PRODUCT_ROWS = 2048
 MAX_LEAVES = 4096
 TRAIN_ROWS_PER_LEAF = 256
 
@@ -153,6 +154,11 @@ def _admitted(batch: dict[str, np.ndarray], key: tuple, n: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, PRODUCT_ROWS):
+        yield batch.slice(start, PRODUCT_ROWS)
+
+
 def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool) -> DataFrame:
     """Candidates of one query block: at most k per query and task."""
     columns = ["id", "embedding"]
@@ -164,11 +170,9 @@ def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         id_type = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             n = batch.num_rows
             id_type = batch.schema.field("id").type
-            if n == 0:
-                continue
             ids = batch["id"].to_numpy(zero_copy_only=False)
             if ids.dtype == object:
                 ids = ids.astype(str)

@@ -58,6 +58,16 @@ def top_n(df: DataFrame, n: int) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, key: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` in the order of ``key``."""
-    out = df.orderBy(*key).offset(offset)
-    return out if limit is None else out.limit(limit)
+    """Rows ``offset`` .. ``offset + limit`` in the order of the unique ``key``.
+
+    Without a limit the skipped rows are found by a top-n and removed by their
+    key; an open-ended offset would move all rows through one task.
+    """
+    ordered = df.orderBy(*key)
+    if limit is not None:
+        return ordered.offset(offset).limit(limit)
+    skipped = df.select(*[F.col(c).alias(f"_{c}") for c in key]).orderBy(
+        *[f"_{c}" for c in key]
+    ).limit(offset)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return df.join(skipped, same, "left_anti").orderBy(*key)

@@ -50,19 +50,21 @@ def city_coverage(cities: DataFrame, reviews: DataFrame, hotels: DataFrame) -> D
 def city_hotel_counts(cities: DataFrame, reviews: DataFrame, hotels: DataFrame) -> DataFrame:
     """Hotels and reviewed hotels per city."""
     # Only distinct counts are asked for, so reviews shrink to their hotel ids.
-    stock = hotels.select(
-        "source_hotel_id", F.col("city").alias("_city"), F.col("country").alias("_country")
-    )
     seen = reviews.select(F.col("hotel_id").alias("source_hotel_id")).distinct().withColumn(
         "hotel_id", F.col("source_hotel_id")
     )
-    linked = stock.join(seen, "source_hotel_id", "left")
-    joined = join_norm(
-        cities.select("city", "country", "continent"), linked, "city", "_city",
-        ["source_hotel_id", "hotel_id", "_city", "_country"],
-    )
+    stock = hotels.select(
+        "source_hotel_id", F.col("city").alias("_city"), F.col("country").alias("_country"),
+        norm_key(F.col("city")).alias("_key"),
+    ).join(seen, "source_hotel_id", "left")
+    listed = cities.select("city", "country", "continent", norm_key(F.col("city")).alias("_key"))
+    # Cities with hotels go through an inner join, whose hot cities can be split
+    # on either side; the others are added by an anti join on the city keys.
+    matched = stock.join(listed, "_key")
+    unmatched = listed.join(stock.select("_key").distinct(), "_key", "left_anti")
     return (
-        joined.groupBy(
+        matched.unionByName(unmatched, allowMissingColumns=True)
+        .groupBy(
             F.coalesce("_city", "city").alias("city"),
             F.coalesce("_country", "country").alias("country"),
             "continent",

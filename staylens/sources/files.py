@@ -83,8 +83,7 @@ def read_saved_pages(spark: SparkSession, folder: str, reviews_only: bool = Fals
     pages = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.html")
-        .option("wholetext", "true")
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     # File paths arrive URL-encoded; a plain plus sign must survive decoding.
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

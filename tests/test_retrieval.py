@@ -170,7 +170,7 @@ def index(spark):
         [("H0", "2", "Second"), ("H0", "1", "First"), ("H1", "3", None)],
         "name string, source_hotel_id string, street_address string",
     )
-    return vectors.embed(items, hashing_embedder(), "review_text"), hotels
+    return vectors.embed(items, hashing_embedder(4096), "review_text"), hotels
 
 
 def test_search_end_to_end(spark, index):
@@ -186,7 +186,7 @@ def test_search_end_to_end(spark, index):
 
     answer = '```json\n[{"Hotel":"H1","City":"Oslo","Rating":5,"photo_name":"places/1"}]\n```'
     out = retrieval.search(
-        forms, items, hotels, hashing_embedder(), judge,
+        forms, items, hotels, hashing_embedder(4096), judge,
         complete_with(lambda prompts: [answer] * len(prompts), "prompt", "content"), "dflt", "Header.", "KEY", 2,
     )
     hits = [(r.query_id, r.id, r.street_address) for r in out["hits"].orderBy("query_id", "rank").collect()]
