@@ -274,3 +274,18 @@ def test_unknown_rating_source_fails(spark):
     updates = spark.createDataFrame([("h", "bing", 2.0, 1)], "hotel_id string, source string, rating double, pos int")
     with pytest.raises(PySparkException, match="unknown source: bing"):
         merges.apply_ratings(hotels, updates, "pos").collect()
+
+
+def test_build_models(spark, rows, tmp_path):
+    from staylens.catalog.tables import Tables
+    from staylens.plans.build import build_models
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    built = build_models(
+        spark, str(tmp_path), [t.hotels_a, t.hotels_b, t.hotels_c],
+        [t.reviews_a, t.reviews_b, t.reviews_c, t.reviews_d],
+        [t.big_city, t.cities, t.airport_city], [t.embedded_a, t.embedded_b],
+    )
+    direct = models.city_coverage(t.dim_cities, t.all_reviews, t.all_hotels)
+    assert rows(built["city_coverage"]) == rows(direct)
+    assert all(df.count() for df in built.values())
