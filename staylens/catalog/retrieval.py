@@ -11,6 +11,7 @@ from staylens.catalog.tables import DERIVED, MODELS, WHITE, Tables, trimmed
 from staylens.functions.vectors import hashing_embedder, l2_normalise, mean_vectors
 from staylens.operators import filters, joins, retrieval, vectors
 from staylens.operators.registry import complete_with, default_registries
+from staylens.session import shared_dir, store
 
 QUESTION = "quiet hotels"
 MODEL = "gemini"
@@ -212,6 +213,7 @@ def _(t: Tables):
 @query("v8_ann_query")
 def _(t: Tables):
     index, centres = vectors.ann_build(t.items, leaf_size=50)
+    index = vectors.ann_store(index.select("id", "embedding", "leaf"), shared_dir(t.spark, "leaves"))
     return shown(vectors.ann_query(index, centres, topics(t), K, share=0.2))
 
 
@@ -401,6 +403,8 @@ def search_all(t: Tables) -> dict[str, DataFrame]:
     """Every user turn as a search over every indexed document."""
     embedder = hashing_embedder()
     items = vectors.embed(t.items.drop("embedding"), embedder, "review_text")
+    # The index is built and stored once, then searched.
+    items = store(items, shared_dir(t.spark, "index"))
     return retrieval.search(
         t.forms, items, t.all_hotels_named, embedder, judge,
         complete_with(write_answer, "prompt", "content"), QUESTION, HEADER, k=K,

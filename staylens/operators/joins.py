@@ -35,7 +35,8 @@ def anti_hash(reviews: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def cities_without_hotels(cities: DataFrame, hotels: DataFrame) -> DataFrame:
     """Cities with no hotel of exactly that city and country."""
-    known = hotels.select(F.col("city").alias("name"), "country")
+    # Distinct first: a city of many hotels travels as one row.
+    known = hotels.select(F.col("city").alias("name"), "country").distinct()
     return cities.join(known, ["name", "country"], "left_anti")
 
 
@@ -61,7 +62,8 @@ def hydrate(items: DataFrame, hotels: DataFrame) -> DataFrame:
 def photo_targets_v1(items: DataFrame, hotels: DataFrame) -> DataFrame:
     """Distinct (hotel name, hotel id) that occur among the indexed reviews."""
     named = hotels.filter(non_empty("hotel_id")).select(F.col("name").alias("hotel_name"), "hotel_id")
-    return named.distinct().join(items.select("hotel_name"), "hotel_name", "left_semi")
+    shown = items.select("hotel_name").distinct()
+    return named.distinct().join(shown, "hotel_name", "left_semi")
 
 
 def photo_targets_v2(items: DataFrame, hotels: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -142,7 +144,8 @@ def match_country(airports: DataFrame, countries: DataFrame) -> DataFrame:
 
 def pending(hotels: DataFrame, reviews: DataFrame) -> DataFrame:
     """Hotels of which no review was fetched yet from their source."""
-    return hotels.join(reviews.select("hotel_id", "source"), ["hotel_id", "source"], "left_anti")
+    fetched = reviews.select("hotel_id", "source").distinct()
+    return hotels.join(fetched, ["hotel_id", "source"], "left_anti")
 
 
 def search_requests(cities: DataFrame, prefixes: list[str] = SEARCH_PREFIXES) -> DataFrame:

@@ -39,16 +39,25 @@ def _set(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def _full_merge(target: DataFrame, updates: DataFrame, key: str, merged: dict[str, Column]) -> DataFrame:
-    """Full outer merge; ``merged`` may refer to target ``t`` and update ``u`` columns."""
+def _merge(target: DataFrame, updates: DataFrame, key: str, merged: dict[str, Column]) -> DataFrame:
+    """Matched rows take ``merged``, others stay, and updates of new keys are added.
+
+    ``merged`` may refer to target ``t`` and update ``u`` columns; updates hold
+    one row per key. Left joins let small updates be broadcast, so a large
+    target is not shuffled for them, which a full outer join would force.
+    """
     t, u = target.alias("t"), updates.alias("u")
-    joined = t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "full")
-    return joined.select(
-        *[
-            F.coalesce(f"t.{key}", f"u.{key}").alias(key) if c == key else merged[c].alias(c)
-            for c in target.columns
-        ]
-    )
+    columns = [
+        F.coalesce(f"t.{key}", f"u.{key}").alias(key) if c == key else merged[c].alias(c)
+        for c in target.columns
+    ]
+    same = F.col(f"t.{key}") == F.col(f"u.{key}")
+    kept = t.join(u, same, "left").select(*columns)
+    known = target.select(key).join(updates.select(key), key, "left_semi")
+    fresh = updates.join(known, key, "left_anti").alias("u")
+    # New rows meet no target row: the same expressions with an empty target.
+    added = fresh.join(target.limit(0).alias("t"), same, "left").select(*columns)
+    return kept.unionByName(added)
 
 
 def upsert_hotels(target: DataFrame, updates: DataFrame, pos: str, key: str = "hotel_id") -> DataFrame:
@@ -75,7 +84,7 @@ def upsert_hotels(target: DataFrame, updates: DataFrame, pos: str, key: str = "h
             merged[f.name] = F.coalesce(given, F.col(f"t.{f.name}"), F.col(f"u.{f.name}"))
         else:
             merged[f.name] = F.col(f"t.{f.name}")
-    return _full_merge(target, latest, key, merged)
+    return _merge(target, latest, key, merged)
 
 
 def upsert_list(target: DataFrame, updates: DataFrame, key: str, columns: list[str],
@@ -101,7 +110,7 @@ def upsert_list(target: DataFrame, updates: DataFrame, key: str, columns: list[s
             merged[c] = F.when(new, F.col(f"u._first.{c}")).otherwise(F.col(f"t.{c}"))
         else:
             merged[c] = F.col(f"t.{c}")
-    return _full_merge(target, once, key, merged)
+    return _merge(target, once, key, merged)
 
 
 def upsert_hotels_list(target: DataFrame, updates: DataFrame, pos: str) -> DataFrame:

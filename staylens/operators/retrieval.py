@@ -14,6 +14,7 @@ from staylens.operators.joins import attach_rank, hydrate
 from staylens.operators.payloads import parse_completions
 from staylens.operators.vectors import DEFAULT_NEIGHBOURS, embed, knn_filtered
 from staylens.operators.windows import keep_first
+from staylens.session import shared_dir, store
 
 # Providers, fallbacks, retryable messages, prompt and media texts.
 DEFAULT_PROVIDER = "gemini"
@@ -158,24 +159,29 @@ def search(
     key: str = "",
     k: int = DEFAULT_NEIGHBOURS,
     model: str = DEFAULT_PROVIDER,
+    folder: str | None = None,
 ) -> dict[str, DataFrame]:
     """A batch of search requests from form fields to enriched answer rows.
 
     ``judge`` maps (query_id, question) to (query_id, answer) and ``complete``
     maps (query_id, question, prompt) to (query_id, content). Unsafe questions
-    leave before embedding, search and completion.
+    leave before embedding, search and completion. Verdicts, hits and answers are
+    written below ``folder``, so every model is called once per question.
     """
+    folder = folder or shared_dir(forms.sparkSession, "search")
     inputs = normalise_queries(forms, question, model)
     verdicts = safety_flag(judge(inputs.select("query_id", "question")))
     judged = inputs.join(verdicts.select("query_id", "safe"), "query_id", "left").withColumn(
         "safe", F.coalesce("safe", F.lit(False))
     )
+    judged = store(judged, f"{folder}/inputs")
     safe = judged.filter("safe")
     vectors = embed(safe.drop("safe"), embedder, "question")
-    hits = knn_filtered(items, vectors, k)
+    hits = store(knn_filtered(items, vectors, k), f"{folder}/hits")
     found = hydrate_hits(hits, items, hotels)
     prompts = build_prompts(safe, found, header)
-    answers = judged.join(complete(prompts), "query_id", "left")
+    completed = store(complete(prompts), f"{folder}/answers")
+    answers = judged.join(completed, "query_id", "left")
     # Queries without hits are answered by an empty list.
     answers = answers.withColumn("content", F.coalesce("content", F.lit("[]")))
     gated = apply_safety(answers.select("query_id", "safe", "content"))

@@ -126,6 +126,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, restricted: bool):
         self.ids = table["query_id"].to_pylist()
+        self.id_type = table.schema.field("query_id").type
         self.vectors = _matrix(table["embedding"])
         self.leaves = table["_leaves"].to_pylist() if "_leaves" in table.column_names else None
         self.groups: dict[tuple, list[int]] = {}
@@ -159,16 +160,19 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, PRODUCT_ROWS)
 
 
-def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool) -> DataFrame:
+def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool,
+          query_kind: str) -> DataFrame:
     """Candidates of one query block: at most k per query and task."""
     columns = ["id", "embedding"]
     columns += RESTRICT_COLUMNS if restricted else ()
     columns += ["leaf"] if block.leaves is not None else []
-    kinds = dict(items.dtypes)
-    probes = [np.asarray(p) for p in block.leaves] if block.leaves is not None else None
+    id_kind = dict(items.dtypes)["id"]
+    probed = _probe_table(block.leaves) if block.leaves is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # Score an item must reach to enter a query's best k.
+        floor = np.full(len(block.ids), -np.inf)
         id_type = None
         for batch in (part for whole in batches for part in _slices(whole)):
             n = batch.num_rows
@@ -183,46 +187,53 @@ def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool
                     c: batch[c].to_numpy(zero_copy_only=False) for c in RESTRICT_COLUMNS
                 }
                 arrays["rating"] = arrays["rating"].astype("float64")
-            leaf = batch["leaf"].to_numpy() if probes is not None else None
-            for key, members in block.groups.items():
+            leaf = batch["leaf"].to_numpy() if probed is not None else None
+            for key, group in block.groups.items():
                 rows = _admitted(arrays, key, n)
-                if len(rows) == 0:
+                members = np.asarray(group)
+                if probed is not None:
+                    # Only queries that probe a leaf of this slice are scored.
+                    present = np.unique(leaf[rows])
+                    members = members[probed[members][:, present].any(axis=1)]
+                if len(rows) == 0 or len(members) == 0:
                     continue
                 scores = _scores(vectors[rows], block.vectors[members], metric)
-                for j, at in enumerate(members):
-                    near, value = rows, scores[:, j]
-                    if probes is not None:
-                        inside = np.isin(leaf[rows], probes[at])
-                        near, value = rows[inside], value[inside]
+                better = scores >= floor[members]
+                if probed is not None:
+                    better &= probed[members][:, leaf[rows]].T
+                for j in np.flatnonzero(better.any(axis=0)):
+                    at, hit = members[j], better[:, j]
+                    near, value = ids[rows[hit]], scores[hit, j]
                     if at in best:
-                        old_ids, old = best[at]
-                        if len(old) == k:
-                            better = value >= old[-1]
-                            near, value = near[better], value[better]
-                        new_ids = np.concatenate([old_ids, ids[near]])
-                        value = np.concatenate([old, value])
-                    else:
-                        new_ids = ids[near]
-                    if len(new_ids):
-                        best[at] = _best(new_ids, value, k)
+                        near = np.concatenate([best[at][0], near])
+                        value = np.concatenate([best[at][1], value])
+                    best[at] = _best(near, value, k)
+                    if len(best[at][1]) == k:
+                        floor[at] = best[at][1][-1]
         if best:
             order = list(best)
-            counts = [len(best[at][0]) for at in order]
-            query_ids = [block.ids[at] for at, c in zip(order, counts) for _ in range(c)]
+            query_ids = [block.ids[at] for at in order for _ in best[at][0]]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "query_id": pa.array(query_ids),
+                    "query_id": pa.array(query_ids, block.id_type),
                     "id": pa.array(np.concatenate([best[at][0] for at in order]), id_type),
                     "score": pa.array(np.concatenate([best[at][1] for at in order])),
                 }
             )
 
-    query_kind = "string" if isinstance(block.ids[0], str) else "bigint"
     return items.select(*columns).mapInArrow(
-        run, f"query_id {query_kind}, id {kinds['id']}, score double"
+        run, f"query_id {query_kind}, id {id_kind}, score double"
     )
 
 
+def _probe_table(leaves: list[list[int]]) -> np.ndarray:
+    """Query x leaf: whether the query searches the leaf. Both sides are bounded."""
+    table = np.zeros((len(leaves), MAX_LEAVES), dtype=bool)
+    for at, probes in enumerate(leaves):
+        table[at, probes] = True
+    return table
+
+
 def _blocks(queries: DataFrame, restricted: bool, rows: int) -> Iterator[_Block]:
     """Query blocks of at most ``rows`` queries.
 
@@ -261,16 +272,16 @@ def _search(items: DataFrame, queries: DataFrame, k: int, metric: str, restricte
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     usable = items.filter(has_vector(F.col("embedding")))
+    query_kind = dict(queries.dtypes)["query_id"]
     parts = []
     for block in _blocks(queries, restricted, block_rows):
         part = usable
         if block.leaves is not None:
             probed = sorted({leaf for leaves in block.leaves for leaf in leaves})
             part = usable.filter(F.col("leaf").isin(probed))
-        parts.append(_scan(part, block, k, metric, restricted))
+        parts.append(_scan(part, block, k, metric, restricted, query_kind))
     if not parts:
-        kinds = {**dict(queries.dtypes), **dict(items.dtypes)}
-        schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+        schema = f"query_id {query_kind}, id {dict(items.dtypes)['id']}, score double"
         parts = [items.sparkSession.createDataFrame([], schema)]
     return _top(reduce(DataFrame.unionByName, parts), k, metric)
 
@@ -303,9 +314,10 @@ def ann_build(items: DataFrame, leaf_size: int = LEAF_SIZE, max_leaves: int = MA
 
     Centres are trained on a bounded random part of the items; every item is
     assigned. Above ``max_leaves`` leaves simply grow: a query still reads the
-    same share of the items. Write the result partitioned by ``leaf`` to make
-    searches skip the other leaves' files.
+    same share of the items. Store the result with ``ann_store`` before searching.
     """
+    if max_leaves > MAX_LEAVES:
+        raise ValueError(f"at most {MAX_LEAVES} leaves")
     usable = items.filter(has_vector(F.col("embedding")))
     n = usable.count()
     leaves = int(min(max_leaves, max(1, round(n / leaf_size))))
@@ -321,6 +333,17 @@ def ann_build(items: DataFrame, leaf_size: int = LEAF_SIZE, max_leaves: int = MA
     return assigned, np.asarray(model.clusterCenters())
 
 
+def ann_store(index: DataFrame, folder: str) -> DataFrame:
+    """Write an index with one folder per leaf, so a search reads only its leaves.
+
+    Rebalancing gathers each leaf in few files and splits a leaf that is too
+    large for one task.
+    """
+    gathered = index.hint("rebalance", F.col("leaf"))
+    gathered.write.mode("overwrite").partitionBy("leaf").parquet(folder)
+    return index.sparkSession.read.schema(index.schema).parquet(folder)
+
+
 def ann_query(index: DataFrame, centres: np.ndarray, queries: DataFrame,
               k: int = DEFAULT_NEIGHBOURS, share: float = LEAF_SHARE, min_leaves: int = 1,
               metric: str = "dot", block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from staylens.plans import models
-from staylens.sources.sinks import overwrite
+from staylens.session import store
 
 
 def build_models(
-    spark: SparkSession,
     folder: str,
     hotels: list[DataFrame],
     reviews: list[DataFrame],
@@ -23,8 +22,7 @@ def build_models(
     """
 
     def stored(name: str, df: DataFrame) -> DataFrame:
-        overwrite(df, f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return store(df, f"{folder}/{name}")
 
     all_hotels = stored("all_hotels", models.all_hotels(*hotels))
     all_reviews = stored("all_reviews", models.all_reviews(*reviews))

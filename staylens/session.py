@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,9 +31,22 @@ def build_session(name: str = "staylens", master: str | None = None, **extra: st
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Without a configured folder (tests, one machine) a temporary one is used.
+    Only a local session may go without a configured folder; it gets a
+    temporary one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = tempfile.mkdtemp(prefix="staylens-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write rows once and go on from the written table.
+
+    Cuts the lineage, and keeps costly or paid steps from running again for
+    every result that is read.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

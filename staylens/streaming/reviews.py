@@ -28,10 +28,14 @@ def stream_new_reviews(stream: DataFrame, target: str, checkpoint: str,
     schema = stream.schema
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         stored = spark.read.schema(f"{schema.toDDL()}, batch bigint").parquet(target)
-        known = stored.filter(f"batch <> {batch_id}").select(*KEY)
+        # The small batch picks its known keys out of the large table first.
+        keys = stored.filter(f"batch <> {batch_id}").select(*KEY)
+        known = keys.join(batch.select(*KEY), KEY, "left_semi")
         fresh = batch.join(known, KEY, "left_anti").select(*schema.names)
         fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.unpersist()
 
     # The target must exist before the first batch reads it.
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/batch=-1")

@@ -282,7 +282,7 @@ def test_build_models(spark, rows, tmp_path):
 
     t = Tables(spark, "/root/testdata/sf0.001")
     built = build_models(
-        spark, str(tmp_path), [t.hotels_a, t.hotels_b, t.hotels_c],
+        str(tmp_path), [t.hotels_a, t.hotels_b, t.hotels_c],
         [t.reviews_a, t.reviews_b, t.reviews_c, t.reviews_d],
         [t.big_city, t.cities, t.airport_city], [t.embedded_a, t.embedded_b],
     )

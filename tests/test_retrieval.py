@@ -184,10 +184,16 @@ def test_search_end_to_end(spark, index):
         verdict = F.when(F.col("question").contains("drop"), " No").otherwise("YES.")
         return asked.select("query_id", verdict.alias("answer"))
 
+    calls = spark.sparkContext.accumulator(0)
+
+    def respond(prompts):
+        calls.add(len(prompts))
+        return [answer] * len(prompts)
+
     answer = '```json\n[{"Hotel":"H1","City":"Oslo","Rating":5,"photo_name":"places/1"}]\n```'
     out = retrieval.search(
         forms, items, hotels, hashing_embedder(4096), judge,
-        complete_with(lambda prompts: [answer] * len(prompts), "prompt", "content"), "dflt", "Header.", "KEY", 2,
+        complete_with(respond, "prompt", "content"), "dflt", "Header.", "KEY", 2,
     )
     hits = [(r.query_id, r.id, r.street_address) for r in out["hits"].orderBy("query_id", "rank").collect()]
     # Namesake hotels: the smallest hotel id gives the address.
@@ -202,6 +208,8 @@ def test_search_end_to_end(spark, index):
     assert (status[1].result_count, status[1].mean_rating, status[1].message) == (1, 5.0, "")
     assert (status[2].safe, status[2].result_count) == (False, 0) and "flagged" in status[2].message
     assert (status[3].safe, status[3].result_count, status[3].parse_failed) == (True, 0, False)
+    # However often the results are read, the model answered one question once.
+    assert calls.value == 1
 
 
 def test_registry():
