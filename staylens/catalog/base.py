@@ -16,6 +16,8 @@ SQL: dict[str, str] = {}
 @lru_cache(maxsize=8)
 def tables_for(spark: SparkSession, folder: str) -> Tables:
     """Tables of a folder; their plans are shared by the queries of a session."""
+    # The given times carry no zone and are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return Tables(spark, folder)
 
 

@@ -312,12 +312,11 @@ def _(t: Tables):
 
 
 @query("j12_pending", """
-    select hotel_id, source from {hotels_a} h where not exists (
-        select 1 from {reviews} r where 'google_' || r.hotel_id = h.hotel_id
-            and r.source = h.source)""")
+    select hotel_id, source from {hotels_b} h where not exists (
+        select 1 from {reviews} r where 'ta_' || r.hotel_id = h.hotel_id and r.source = h.source)""")
 def _(t: Tables):
-    fetched = t.reviews.select(F.concat(F.lit("google_"), "hotel_id").alias("hotel_id"), "source")
-    return joins.pending(t.hotels_a, fetched).select("hotel_id", "source")
+    fetched = t.reviews.select(F.concat(F.lit("ta_"), "hotel_id").alias("hotel_id"), "source")
+    return joins.pending(t.hotels_b, fetched).select("hotel_id", "source")
 
 
 @query("j14_search_requests", """

@@ -188,7 +188,7 @@ MODELS = {
         select * from (select *, {hashed('review_text')} as review_text_hash
             from {{union_reviews}} where review_text is not null)
         qualify row_number() over (partition by review_text_hash
-            order by table_source desc, id desc, hotel_id, review_text) = 1""",
+            order by table_source desc, id desc, hotel_id, md5(review_text)) = 1""",
     "dim_cities": """
         select name as city, country, continent, 'bigCity' as city_source from {big_city}
         union all select name, country, null, 'cities' from {cities}

@@ -141,15 +141,27 @@ class _Block:
             self.groups.setdefault(key, []).append(at)
 
 
-def _admitted(batch: dict[str, np.ndarray], key: tuple, n: int) -> np.ndarray:
+class _Coded:
+    """String column as integer codes, so that restricts compare numbers."""
+
+    def __init__(self, column: pa.Array):
+        coded = column.dictionary_encode()
+        self.codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.code_of = {value: at for at, value in enumerate(coded.dictionary.to_pylist())}
+
+    def equals(self, value: str) -> np.ndarray:
+        return self.codes == self.code_of.get(value, -2)
+
+
+def _admitted(batch: dict, key: tuple, n: int) -> np.ndarray:
     """Positions of the items that pass the restricts of a query group."""
     ok = np.ones(n, dtype=bool)
     if key:
         continent, place, rating = key
         if continent is not None:
-            ok &= batch["continent"] == continent
+            ok &= batch["continent"].equals(continent)
         if place is not None:
-            ok &= (batch["city"] == place[0]) & (batch["country"] == place[1])
+            ok &= batch["city"].equals(place[0]) & batch["country"].equals(place[1])
         if rating is not None:
             ok &= batch["rating"] >= rating
     return np.flatnonzero(ok)
@@ -183,10 +195,9 @@ def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool
             vectors = _matrix(batch["embedding"])
             arrays = {}
             if restricted:
-                arrays = {
-                    c: batch[c].to_numpy(zero_copy_only=False) for c in RESTRICT_COLUMNS
-                }
-                arrays["rating"] = arrays["rating"].astype("float64")
+                arrays = {c: _Coded(batch[c]) for c in RESTRICT_COLUMNS[:3]}
+                rating = batch["rating"].to_numpy(zero_copy_only=False)
+                arrays["rating"] = rating.astype("float64")
             leaf = batch["leaf"].to_numpy() if probed is not None else None
             for key, group in block.groups.items():
                 rows = _admitted(arrays, key, n)

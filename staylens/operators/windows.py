@@ -28,10 +28,15 @@ def keep_last(df: DataFrame, keys: list[str], pos: list[str]) -> DataFrame:
 
 
 def dedupe_by_hash(df: DataFrame) -> DataFrame:
-    """One row per normalised review text: highest table_source, then highest id."""
-    hashed = df.withColumn("review_text_hash", text_hash(F.col("review_text")))
-    order = [F.desc("table_source"), F.desc("id"), F.asc("hotel_id"), F.asc("review_text")]
-    return first_per_key(hashed, ["review_text_hash"], order)
+    """One row per normalised review text: highest table_source, then highest id.
+
+    The last tie is settled by a hash of the raw text and not by the text, so
+    texts are shuffled only where the caller reads them.
+    """
+    text = F.col("review_text")
+    hashed = df.withColumns({"review_text_hash": text_hash(text), "_raw": F.md5(text)})
+    order = [F.desc("table_source"), F.desc("id"), F.asc("hotel_id"), F.asc("_raw")]
+    return first_per_key(hashed, ["review_text_hash"], order).drop("_raw")
 
 
 def top_cities(cities: DataFrame, n: int = 25) -> DataFrame:
