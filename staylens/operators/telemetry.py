@@ -48,11 +48,16 @@ def histogram_rollup(events: DataFrame, keys: list[str], bounds: list[float] = B
     )
 
 
-def quantile_rollup(events: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
-    """Approximate quantiles of the values, from mergeable sketches."""
+def quantile_rollup(events: DataFrame, keys: list[str], shares: list[float],
+                    accuracy: int = 10000) -> DataFrame:
+    """Approximate quantiles of the values, from mergeable sketches.
+
+    Ranks are off by at most ``rows / accuracy``, so groups with far fewer rows
+    than ``accuracy`` are exact.
+    """
     return events.groupBy(*keys).agg(
         F.count("value").alias("events"),
-        F.percentile_approx("value", shares, 10000).alias("quantiles"),
+        F.percentile_approx("value", shares, accuracy).alias("quantiles"),
     )
 
 

@@ -11,7 +11,7 @@ searched block by block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -284,17 +284,28 @@ def _search(items: DataFrame, queries: DataFrame, k: int, metric: str, restricte
         raise ValueError(f"unknown metric: {metric}")
     usable = items.filter(has_vector(F.col("embedding")))
     query_kind = dict(queries.dtypes)["query_id"]
-    parts = []
-    for block in _blocks(queries, restricted, block_rows):
+
+    def hits(block: _Block) -> DataFrame:
         part = usable
         if block.leaves is not None:
             probed = sorted({leaf for leaves in block.leaves for leaf in leaves})
             part = usable.filter(F.col("leaf").isin(probed))
-        parts.append(_scan(part, block, k, metric, restricted, query_kind))
-    if not parts:
+        return _top(_scan(part, block, k, metric, restricted, query_kind), k, metric)
+
+    blocks = _blocks(queries, restricted, block_rows)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         schema = f"query_id {query_kind}, id {dict(items.dtypes)['id']}, score double"
-        parts = [items.sparkSession.createDataFrame([], schema)]
-    return _top(reduce(DataFrame.unionByName, parts), k, metric)
+        return _top(items.sparkSession.createDataFrame([], schema), k, metric)
+    if second is None:
+        return hits(first)
+    # The hits of a block are final. Written one by one, they never hold more
+    # than a few blocks on the driver.
+    folder = shared_dir(items.sparkSession, "hits")
+    schema = hits(first).schema
+    for block in chain([first, second], blocks):
+        hits(block).write.mode("append").parquet(folder)
+    return items.sparkSession.read.schema(schema).parquet(folder)
 
 
 def knn(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS, metric: str = "dot",
