@@ -22,7 +22,7 @@ HEADLINE = [
     "v15_search_status", "a11_histogram_rollup", "t1_stream_new_reviews", "t2_stream_counters",
     "k5_export_embeddings",
 ]
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def main() -> None:

@@ -61,7 +61,8 @@ def city_hotel_counts(cities: DataFrame, reviews: DataFrame, hotels: DataFrame)
     # Cities with hotels go through an inner join, whose hot cities can be split
     # on either side; the others are added by an anti join on the city keys.
     matched = stock.join(listed, "_key")
-    unmatched = listed.join(stock.select("_key").distinct(), "_key", "left_anti")
+    placed = hotels.select(norm_key(F.col("city")).alias("_key")).distinct()
+    unmatched = listed.join(placed, "_key", "left_anti")
     return (
         matched.unionByName(unmatched, allowMissingColumns=True)
         .groupBy(
