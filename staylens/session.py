@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import staylens
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +23,8 @@ SETTINGS = {
 
 
 def build_session(name: str = "staylens", master: str | None = None, **extra: str) -> SparkSession:
+    # Functions of the package travel to the executors by value.
+    cloudpickle.register_pickle_by_value(staylens)
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
