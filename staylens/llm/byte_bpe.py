@@ -16,7 +16,7 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
 INNER_SPACE = re.compile(r" (?:\s|$)")
 SPECIAL = "<|endoftext|>"
 #: Words a task remembers; only memory and speed depend on it.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 def byte_letters() -> list[str]:

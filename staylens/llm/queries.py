@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import exact_dedup, packing
+from staylens.llm import bpe_trie, chat_format, exact_dedup, packing
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,12 +15,28 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    same = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat_format.digest(chat_format.format_turns(chat_format.text_parts(turns)))
+
+
+def op6_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return bpe_trie.encode_decode(docs, TOKENIZER, with_ids=False, with_text=False)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     digest = {"text_sha256": F.sha2(text_or_empty(), 256)}
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), carry=digest)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_chat_formatting, op6_bpe_trie, op10_exact_dedup,
+)}
 
 SQL = {
     "op10_exact_dedup": """
