@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import bpe_trie, chat_format, exact_dedup, packing
+from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, packing
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,10 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digest(chat_format.format_turns(chat_format.text_parts(turns)))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_dedup(table(spark, folder, "embeddings"))
+
+
 def op6_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe_trie.encode_decode(docs, TOKENIZER, with_ids=False, with_text=False)
@@ -35,7 +39,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_chat_formatting, op6_bpe_trie, op10_exact_dedup,
+    op1_best_fit_packing, op2_chat_formatting, op5_embedding_near_dedup, op6_bpe_trie, op10_exact_dedup,
 )}
 
 SQL = {
