@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, packing
+from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, license_scan, packing
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,13 +33,18 @@ def op6_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_trie.encode_decode(docs, TOKENIZER, with_ids=False, with_text=False)
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     digest = {"text_sha256": F.sha2(text_or_empty(), 256)}
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), carry=digest)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_chat_formatting, op5_embedding_near_dedup, op6_bpe_trie, op10_exact_dedup,
+    op1_best_fit_packing, op2_chat_formatting, op5_embedding_near_dedup, op6_bpe_trie, op8_license_scan,
+    op10_exact_dedup,
 )}
 
 SQL = {
