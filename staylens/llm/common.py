@@ -61,3 +61,32 @@ def components(links: DataFrame, left: str, right: str, label: str) -> DataFrame
                 small.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
             )
         state = small
+
+
+# 64 slices of 32 768 bits: 256 KiB, whatever the input.
+SLICES = 64
+
+
+def bit_number(*columns) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLICES * 32768)) + 1
+
+
+def bitmap(keys: DataFrame, *columns) -> DataFrame:
+    """Fixed-size set of key hashes: at most SLICES rows of 4 KiB."""
+    number = bit_number(*columns)
+    return keys.groupBy(F.bitmap_bucket_number(number).alias("slice")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
+    )
+
+
+def marked(rows: DataFrame, slices: DataFrame, *columns) -> DataFrame:
+    """Rows with ``is_set``: false only if their key is certainly not in the bitmap."""
+    number = bit_number(*columns)
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.withColumn("slice", F.bitmap_bucket_number(number))
+        .join(F.broadcast(slices), "slice", "left")
+        .withColumn("is_set", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+        .drop("slice", "bits")
+    )

@@ -11,11 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from staylens.llm.common import text_or_empty, written
+from staylens.llm.common import bitmap, marked, text_or_empty, written
 
 PREFIX_CHARS = 64
-# 64 slices of 32 768 bits: 256 KiB, whatever the input.
-SLICES = 64
 
 
 def _narrow(df: DataFrame, id_col: str, text_col: str, carry: dict[str, Column]) -> DataFrame:
@@ -27,10 +25,6 @@ def _narrow(df: DataFrame, id_col: str, text_col: str, carry: dict[str, Column])
     )
 
 
-def _bit_number() -> Column:
-    return F.pmod(F.xxhash64("size", "prefix"), F.lit(SLICES * 32768)) + 1
-
-
 def surviving_groups(rows: DataFrame) -> DataFrame:
     """Bitmap slices of the (length, prefix hash) groups that hold several rows.
 
@@ -40,25 +34,14 @@ def surviving_groups(rows: DataFrame) -> DataFrame:
     groups = rows.groupBy("size", "prefix").agg(F.count("*").alias("n"))
     lengths = groups.groupBy("size").agg(F.sum("n").alias("n")).where("n > 1").select("size")
     kept = groups.where("n > 1").join(lengths, "size", "left_semi")
-    number = _bit_number()
-    return kept.groupBy(F.bitmap_bucket_number(number).alias("slice")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
-    )
+    return bitmap(kept, "size", "prefix")
 
 
 def _settled(df: DataFrame, id_col: str, text_col: str, carry: dict[str, Column]) -> DataFrame:
     rows = _narrow(df, id_col, text_col, carry)
-    slices = surviving_groups(rows)
-    number = _bit_number()
-    at = F.bitmap_bit_position(number)
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     stored = written(
-        rows.withColumn("slice", F.bitmap_bucket_number(number))
-        # At most SLICES rows of 4 KiB each.
-        .join(F.broadcast(slices), "slice", "left")
-        .select(
-            "id", "size", "prefix", F.when(is_set, F.sha2("body", 256)).alias("digest"),
+        marked(rows, surviving_groups(rows), "size", "prefix").select(
+            "id", "size", "prefix", F.when(F.col("is_set"), F.sha2("body", 256)).alias("digest"),
             F.monotonically_increasing_id().alias("row"), *carry,
         ),
         "exact-dedup",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, license_scan, packing
+from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"), shingle=3, num=90, den=100)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     digest = {"text_sha256": F.sha2(text_or_empty(), 256)}
     return exact_dedup.exact_dedup(table(spark, folder, "documents"), carry=digest)
@@ -44,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op5_embedding_near_dedup, op6_bpe_trie, op8_license_scan,
-    op10_exact_dedup,
+    op9_ngram_jaccard_join, op10_exact_dedup,
 )}
 
 SQL = {
