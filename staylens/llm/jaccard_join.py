@@ -269,10 +269,12 @@ class CountTree:
         """Indices of the points whose summed minima with one point reach the bound."""
         n = point.sum()
         at = np.arange(len(self.levels[-1][0])) if self.levels else np.zeros(1, int)
-        for high, least in reversed(self.levels):
+        below = [len(high) for high, _ in self.levels[:-1]][::-1] + [len(self.order)]
+        for (high, least), size in zip(reversed(self.levels), below, strict=False):
             ok = np.minimum(high[at], point).sum(1) * (num + den) >= num * (n + least[at])
             at = (at[ok][:, None] * self.fanout + np.arange(self.fanout)).ravel()
-        at = self.order[at[at < len(self.order)]]
+            at = at[at < size]
+        at = self.order[at]
         found = self.points[at]
         return at[np.minimum(found, point).sum(1) * (num + den) >= num * (n + found.sum(1))]
 
