@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing
+from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing, toxicity
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,18 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digest(chat_format.format_turns(chat_format.text_parts(turns)))
 
 
+def held_out(doc_id="doc_id"):
+    """Rows whose labels no model may learn from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out()))
+    return toxicity.score(docs, net).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted", "window_start", "n_words")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embed_dedup.near_dedup(table(spark, folder, "embeddings"))
 
@@ -47,8 +59,8 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_chat_formatting, op5_embedding_near_dedup, op6_bpe_trie, op8_license_scan,
-    op9_ngram_jaccard_join, op10_exact_dedup,
+    op1_best_fit_packing, op2_chat_formatting, op4_toxicity, op5_embedding_near_dedup,
+    op6_bpe_trie, op8_license_scan, op9_ngram_jaccard_join, op10_exact_dedup,
 )}
 
 SQL = {
