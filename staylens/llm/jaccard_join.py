@@ -132,51 +132,51 @@ def _point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
-def _fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """id, n, fingerprint of the set (128 bits)."""
+def _keyed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """id, n, fingerprint of the set (128 bits), keys."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, bands = WordHashes(), Bands(num, den)
         for frame in frames:
-            n, a, b = [], [], []
-            for text in frame.column(1):
-                s = shingles(text.as_py(), size, known)
-                n.append(len(s))
-                a.append(mix(s).sum(dtype=np.uint64))
-                b.append(mix(s ^ M1).sum(dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
-                 pa.array(np.array(b, np.uint64).view(np.int64))],
-                names=["id", "n", "f1", "f2"],
-            )
+            for start in range(0, frame.num_rows, 2048):
+                part = frame.slice(start, 2048)
+                n, a, b, keys, lengths = [], [], [], [np.empty(0, np.uint64)], [0]
+                for text in part.column(1):
+                    s = shingles(text.as_py(), size, known)
+                    own = chunk_keys(s, bands)
+                    n.append(len(s))
+                    a.append(mix(s).sum(dtype=np.uint64))
+                    b.append(mix(s ^ M1).sum(dtype=np.uint64))
+                    keys.extend(own)
+                    lengths.append(sum(map(len, own)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
+                     pa.array(np.array(b, np.uint64).view(np.int64)),
+                     pa.ListArray.from_arrays(
+                         pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))],
+                    names=["id", "n", "f1", "f2", "keys"],
+                )
 
-    return docs.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, keys array<long>")
 
 
-def _key_rows(docs: DataFrame, size: int, num: int, den: int, among=None) -> DataFrame:
-    """(id, key) for every key of every set; with ``among``, only keys whose bit is set there."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _keys_among(keyed: DataFrame, bitmap_of_keys) -> DataFrame:
+    """(id, key) of the keys whose bit is set."""
+    kind = keyed.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bands = WordHashes(), Bands(num, den)
-        bits = None if among is None else np.frombuffer(among.value, np.uint8)
+        bits = np.frombuffer(bitmap_of_keys.value, np.uint8)
         for frame in frames:
-            for start in range(0, frame.num_rows, 512):
-                part = frame.slice(start, 512)
-                keys, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for i, text in enumerate(part.column(1)):
-                    for own in chunk_keys(shingles(text.as_py(), size, known), bands):
-                        if bits is not None:
-                            bit = (own & np.uint64(KEY_BITS - 1)).astype(np.int64)
-                            own = own[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
-                        keys.append(own)
-                        at.append(np.full(len(own), i))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(np.concatenate(at))),
-                     pa.array(np.concatenate(keys).view(np.int64))], names=["id", "key"])
+            column = frame.column(1)
+            keys = column.flatten().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+            bit = keys & (KEY_BITS - 1)
+            on = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0).take(pa.array(at[on])), pa.array(keys[on])], names=["id", "key"])
 
-    return docs.mapInArrow(run, f"id {kind}, key long")
+    return keyed.select("id", "keys").mapInArrow(run, f"id {kind}, key long")
 
 
 def repeated_keys(rows: DataFrame) -> bytes:
@@ -354,18 +354,20 @@ def jaccard_components(
     columns are ignored. Hashes of 64 bits stand for shingles.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"))
-    keyed = written(_fingerprints(docs, shingle), "shingle-prints")
+    keyed = written(_keyed(docs, shingle, num, den), "shingle-keys")
     linkable = F.col("id").isNotNull() & (F.col("n") > 0)
     same = written(
         keyed.where(linkable).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "shingle-sets")
-    # Of copies one is compared; keys are made again rather than stored.
+    # Of copies one is compared.
     copies = (
         keyed.where(linkable).select("id", "n", "f1", "f2").join(same, ["n", "f1", "f2"])
         .where("id <> rep").select("id").distinct()
     )
-    several = df.sparkSession.sparkContext.broadcast(repeated_keys(_key_rows(docs, shingle, num, den)))
-    rows = _key_rows(docs, shingle, num, den, several).where("id is not null")
-    rows = written(rows.join(copies, "id", "left_anti").distinct(), "repeated-keys")
+    single = keyed.where(linkable & (F.size("keys") > 0))
+    several = df.sparkSession.sparkContext.broadcast(
+        repeated_keys(single.select(F.explode("keys").alias("key"))))
+    rows = _keys_among(single, several).join(copies, "id", "left_anti")
+    rows = written(rows.distinct(), "repeated-keys")
     members = written(shared_keys(rows), "shared-keys")
     involved = members.select("id").distinct()
     some = marked(docs, bitmap(involved, "id"), "id").where("is_set").select("id", "body")
