@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing, toxicity
+from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing, secret_scan, toxicity
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,18 @@ def op6_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_trie.encode_decode(docs, TOKENIZER, with_ids=False, with_text=False)
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs, path_col="source"), path_col="source")
+    starts = F.transform("findings", lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"),
+        F.array_min(starts).cast("long").alias("first_start"),
+        F.array_join(F.transform("findings", lambda m: F.concat_ws("-", m["start"], m["length"])), ",").alias("spans"),
+        F.sha2(F.array_join(F.transform("findings", lambda m: m["value"]), "\n"), 256).alias("secrets_sha256"),
+    )
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
 
@@ -60,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_chat_formatting, op4_toxicity, op5_embedding_near_dedup,
-    op6_bpe_trie, op8_license_scan, op9_ngram_jaccard_join, op10_exact_dedup,
+    op6_bpe_trie, op7_secret_scan, op8_license_scan, op9_ngram_jaccard_join, op10_exact_dedup,
 )}
 
 SQL = {
