@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing, secret_scan, toxicity
+from staylens.llm import bpe_trie, chat_format, embed_dedup, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, toxicity
 from staylens.llm.common import table, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out()))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     net = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out()))
@@ -71,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_chat_formatting, op4_toxicity, op5_embedding_near_dedup,
+    op1_best_fit_packing, op2_chat_formatting, op3_quality_classifier, op4_toxicity, op5_embedding_near_dedup,
     op6_bpe_trie, op7_secret_scan, op8_license_scan, op9_ngram_jaccard_join, op10_exact_dedup,
 )}
 
