@@ -26,6 +26,7 @@ GRAMS = (3, 4, 5, 7)
 #: Labelled rows of each class that a model is fitted on, at most.
 TOXIC_ROWS, CLEAN_ROWS = 1200, 2400
 ROUNDS = 6
+LEAST_STEPS = 160
 THRESHOLD = 0.3
 #: Words a task remembers; only memory and speed depend on it.
 CACHED_WORDS = 200_000
@@ -260,6 +261,8 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         order = np.lexsort((values, doc))
         return order[np.concatenate([np.flatnonzero(np.diff(doc[order])), [len(doc) - 1]])]
 
+    # Few rows get more rounds, so that there are enough steps.
+    rounds = max(rounds, -(-LEAST_STEPS * 128 // (2 * len(y))))
     for turn in range(rounds):
         best = highest(top)
         anyone = first + (rng.random(len(first)) * np.bincount(doc)).astype(np.int64)
@@ -300,8 +303,9 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             ], axis=1).astype(np.float32)
             for name, grad in g.items():
                 update(name, grad, 0.01 if turn < rounds - 2 else 0.004)
-        # Rounds trust the model from the third on.
-        if turn >= 1:
+        # After the first rounds, windows are ranked by the model.
+        every = max(1, rounds // ROUNDS)
+        if turn and (turn + 1) % every == 0 or turn == rounds - 1:
             projected = np.concatenate([
                 net.project(net.inputs(word_features(vocabulary[k: k + 20_000])))
                 for k in range(0, len(vocabulary), 20_000)], axis=1)
