@@ -438,13 +438,18 @@ def completions(t: Tables) -> DataFrame:
         F.col("text").alias("Review"), (F.col("turn") + 0.5).cast("double").alias("Rating"),
         F.lit(0.25).alias("Distance"), F.lit("a").alias("Address"),
         F.when(F.col("turn") == 1, "").otherwise("places/1").alias("photo_name"),
+        F.col("turn").alias("extra"),
     )
     body = F.to_json(F.array(item, item))
+    # Some answers write the rating as a string.
+    body = F.when(F.col("conv_id") % 3 == 0, F.regexp_replace(body, '"Rating":([0-9.]+)', '"Rating":"$1"')).otherwise(body)
     kind = F.col("turn") % 8
     content = (
         F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(kind == 1, F.concat(F.lit(" ```"), body, F.lit("``` ")))
-        .when(kind == 2, F.concat(F.lit("x"), body))
+        .when(kind == 2, F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("x"), body))
+              .when(F.col("conv_id") % 4 == 1, F.concat(body, F.lit(" trailing")))
+              .when(F.col("conv_id") % 4 == 2, F.lit("[{'Hotel':'A'}]")).otherwise(F.lit('["A", 1]')))
         .when(kind == 3, F.lit("null"))
         .when(kind == 4, F.concat(body, F.lit("```")))
         .when(kind == 5, F.lit("  "))
@@ -457,13 +462,14 @@ def completions(t: Tables) -> DataFrame:
 
 @query("p19_parse_completions", """
     select conv_id * 1000 + turn as query_id, cast(pos as int) as pos, 'H' || conv_id as hotel,
-        text as review, turn + cast(0.5 as double) as rating
+        text as review, turn + cast(0.5 as double) as rating, turn as extra
     from {conversations}, (select unnest([0, 1]) as pos) p where turn % 8 not in (2, 3, 5)""")
 def _(t: Tables):
     rows, _ = payloads.parse_completions(completions(t))
     return rows.select(
         "query_id", "pos", F.col("Hotel").alias("hotel"), F.col("Review").alias("review"),
         F.col("Rating").alias("rating"),
+        F.get_json_object("item", "$.extra").cast("long").alias("extra"),
     )
 
 

@@ -90,9 +90,12 @@ def _(t: Tables):
 
 
 @query("s7_export_reviews", """
-    select hotel_id, review_text, reviewer_name, rating, city, country from {items}""")
+    select hotel_id, review_text, reviewer_name, rating,
+        split_part(reviewer_location, ', ', 1) as city, split_part(reviewer_location, ', ', 2) as country
+    from {reviews}""")
 def _(t: Tables):
-    return tables.export_reviews(t.items)
+    place = {c: F.split_part("reviewer_location", F.lit(", "), F.lit(i)) for i, c in ((1, "city"), (2, "country"))}
+    return tables.export_reviews(t.reviews.withColumns(place))
 
 
 @query("s8_read_payloads", """

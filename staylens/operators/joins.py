@@ -113,17 +113,18 @@ def attach_rank(hits: DataFrame, meta: DataFrame) -> DataFrame:
 def match_country(airports: DataFrame, countries: DataFrame) -> DataFrame:
     """Country of each airport: equal name first, else the longest name contained in it.
 
-    The distinct airport countries are cut into their substrings, which turns
-    the containment test into an equi-join.
+    The distinct airport countries are cut into substrings of the lengths that
+    country names have, which turns the containment test into an equi-join.
     """
-    spelled = airports.select(F.lower("country").alias("_spelled")).distinct()
+    lengths = countries.agg(F.collect_set(F.length("name")).alias("_lengths"))
+    # One row: the different lengths of country names.
+    spelled = airports.select(F.lower("country").alias("_spelled")).distinct().crossJoin(F.broadcast(lengths))
     n = F.length("_spelled")
-    starts = F.sequence(F.lit(1), n)
     parts = F.flatten(
         F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("_spelled"), i, k)
+            F.filter("_lengths", lambda k: (k > 0) & (k <= n)),
+            lambda k: F.transform(
+                F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("_spelled"), i, k)
             ),
         )
     )

@@ -7,6 +7,7 @@ JSON parsing: only the fields selected below are read from the documents.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from staylens import schemas
 from staylens.functions.dates import review_date, rfc3339
@@ -209,17 +210,26 @@ def parse_photo(df: DataFrame) -> DataFrame:
 def parse_completions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Model answers to item rows, and per query whether its answer failed to parse.
 
-    Blank and ``null`` answers have no items. Code fences are removed first; if
-    that does not parse, every fence mark is removed.
+    Blank and ``null`` answers have no items. One leading fence, with or without
+    a language, and one trailing fence are removed first; if that does not parse,
+    every fence mark is removed. An answer must be a JSON array of objects and
+    nothing else. ``item`` holds a whole item as JSON, also fields and types
+    that the named columns have no place for.
     """
     text = trim_ws(F.coalesce("content", F.lit("")))
-    fenced = F.regexp_replace(text, r"(?s)^```(?:json)?\s*|\s*```\z", "")
-    bare = F.replace(text, F.lit("```"), F.lit(""))
+    fence = "```"
+    inner = F.when(text.startswith(fence), F.regexp_replace(text, r"^```[a-z]*\s*", "")).otherwise(text)
+    fenced = F.when(inner.endswith(fence), F.substring(inner, F.lit(1), F.length(inner) - 3)).otherwise(inner)
+    bare = F.replace(text, F.lit(fence), F.lit(""))
+    fields = StructType.fromDDL(f"items {schemas.COMPLETION_ITEMS}")["items"].dataType.elementType.fields
 
     def read(c: Column) -> Column:
-        # An answer must be a JSON array; a single object would parse as one item.
-        return F.when(trim_ws(c).startswith("["), F.from_json(c, schemas.COMPLETION_ITEMS,
-                                                              {"mode": "PERMISSIVE"}))
+        # As the value of a field the text is parsed strictly and to its end.
+        whole = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+        items = F.try_variant_get(whole, "$.v", "array<variant>")
+        objects = F.forall(items, lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
+        alone = F.try_variant_get(whole, "$", "map<string,variant>")
+        return F.when(objects & (F.size(alone) == 1), items)
 
     none = text.isin("", "null")
     parsed = df.withColumn("_items", F.coalesce(read(fenced), read(bare)))
@@ -227,4 +237,5 @@ def parse_completions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         "query_id", (~none & F.col("_items").isNull()).alias("parse_failed")
     )
     items = parsed.filter(~none).select("query_id", F.posexplode("_items").alias("pos", "_i"))
-    return items.select("query_id", "pos", "_i.*"), failed
+    typed = [F.try_variant_get("_i", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields]
+    return items.select("query_id", "pos", *typed, F.to_json("_i").alias("item")), failed

@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
@@ -90,7 +91,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
     if len(column) == 0:
         return flat.reshape(0, 0)
-    if len(flat) % len(column):
+    if pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
         raise ValueError("vectors of different lengths")
     return flat.reshape(len(column), -1)
 

@@ -45,10 +45,15 @@ def top_cities(cities: DataFrame, n: int = 25) -> DataFrame:
     return first_per_key(cities, ["country"], order, n)
 
 
-def rank_hits(hits: DataFrame) -> DataFrame:
-    """1-based rank of the hits of each query, nearest first."""
+def rank_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """1-based rank of the hits of each query, nearest first.
+
+    With ``k`` only the nearest are ranked, and each task passes on at most k
+    hits of a query.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("distance"), F.asc("id"))
-    return hits.withColumn("rank", F.row_number().over(w))
+    ranked = hits.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def reviews_for_hotel(df: DataFrame, hotel_id: str | Column) -> DataFrame:

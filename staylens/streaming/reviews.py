@@ -2,45 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from staylens.operators.merges import with_review_key
+from staylens.operators.windows import first_per_key
 
 KEY = ["source", "source_review_id"]
+#: Folders of the target by key hash; a batch reads only those its keys fall in.
+BUCKETS = 64
 
 
-def first_seen(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeats of a review key; the watermark bounds the kept state."""
-    keyed = with_review_key(stream)
-    return keyed.withWatermark("review_date", delay).dropDuplicatesWithinWatermark(KEY)
+def bucketed(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
 
 
-def stream_new_reviews(stream: DataFrame, target: str, checkpoint: str,
-                       delay: str = "1 day") -> StreamingQuery:
-    """Append reviews of new keys to the table at ``target``.
+def stream_new_reviews(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append reviews of new keys to the table at ``target``, however old they are.
 
-    Keys that already left the state are caught by the anti join of each batch
-    against the stored keys. A batch is stored in its own ``batch`` folder and
-    replaced when it is run again, so a lost executor or a restart repeats no row.
+    The stored keys are the only state: each batch keeps one review per key, the
+    oldest, and joins the rest away against the stored keys of its buckets. A
+    batch is stored in its own ``batch`` folder and replaced when it is run
+    again, so a lost executor or a restart repeats no row.
     """
     spark = stream.sparkSession
     schema = stream.schema
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        stored = spark.read.schema(f"{schema.toDDL()}, batch bigint").parquet(target)
+        stored = spark.read.schema(f"{schema.toDDL()}, batch bigint, bucket int").parquet(target)
+        batch = bucketed(first_per_key(batch, KEY, [F.asc("review_date")])).persist()
+        hit = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+        keys = stored.filter((F.col("batch") != batch_id) & F.col("bucket").isin(hit)).select(*KEY)
         # The small batch picks its known keys out of the large table first.
-        keys = stored.filter(f"batch <> {batch_id}").select(*KEY)
         known = keys.join(batch.select(*KEY), KEY, "left_semi")
-        fresh = batch.join(known, KEY, "left_anti").select(*schema.names)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh = batch.join(known, KEY, "left_anti").select(*schema.names, "bucket")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
         batch.unpersist()
 
     # The target must exist before the first batch reads it.
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/batch=-1")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/batch=-1/bucket=0")
     return (
-        first_seen(stream, delay)
+        with_review_key(stream)
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

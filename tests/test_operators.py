@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -241,14 +243,28 @@ def test_completions(spark, rows):
     item = '{"Hotel":"H","Rating":4,"Extra":1}'
     df = spark.createDataFrame(
         [(1, f"```json\n[{item}]\n```"), (2, f"[{item}, {item}]"), (3, f"``` [{item}] ```"), (4, "null"),
-         (5, " "), (6, "[broken"), (7, item), (8, f"[{item}]```"), (9, None), (10, "[]")],
+         (5, " "), (6, "[broken"), (7, item), (8, f"[{item}]```"), (9, None), (10, "[]"),
+         (11, f"[{item}] trailing"), (12, "[{'Hotel':'A'}]"), (13, '[{"Hotel":"A","Rating":"4.5"}]'), (14, '[1]'),
+         (15, f'[{item}],"w":1')],
         "query_id int, content string",
     )
     items, failed = payloads.parse_completions(df)
     counts = {r.query_id: r["count"] for r in items.groupBy("query_id").count().collect()}
-    assert counts == {1: 1, 2: 2, 3: 1, 8: 1}
-    assert [q for q, bad in rows(failed) if bad] == [6, 7]
+    assert counts == {1: 1, 2: 2, 3: 1, 8: 1, 13: 1}
+    assert sorted(q for q, bad in rows(failed) if bad) == [6, 7, 11, 12, 14, 15]
     assert items.filter("query_id = 1").head().Rating == 4.0
+    assert items.filter("query_id = 13").head().Rating == 4.5
+    # Fields without a column are kept in the item.
+    assert json.loads(items.filter("query_id = 1").head()["item"]) == json.loads(item)
+
+
+def test_ragged_vectors_are_refused():
+    import pyarrow as pa
+
+    from staylens.operators import vectors
+
+    with pytest.raises(ValueError):
+        vectors._matrix(pa.array([[0.0] * 63, [0.0] * 65]))
 
 
 def test_payload_edges(spark):

@@ -20,7 +20,7 @@ def test_stream_inserts_once_across_runs(spark, tmp_path, rows):
 
     def run():
         stream = spark.readStream.schema(shape).parquet(inbox)
-        reviews.stream_new_reviews(stream, target, checkpoint, "1 hour").awaitTermination()
+        reviews.stream_new_reviews(stream, target, checkpoint).awaitTermination()
         return rows(spark.read.schema(shape).parquet(target), "source", "source_review_id", "review_text")
 
     land(("g", "1", "a", "2024-01-01 00:00:00"), ("g", "1", "a", "2024-01-01 00:10:00"), ("y", "1", "b", "2024-01-01"))
@@ -31,6 +31,12 @@ def test_stream_inserts_once_across_runs(spark, tmp_path, rows):
     land(("g", "1", "again", "2024-03-02"), ("g", " ", "d", "2024-03-02"))
     got = run()
     assert len(got) == 4 and ("g", "1", "again") not in got
+    # A new key is stored whatever its date.
+    land(("g", "3", "newest", "2024-05-01"))
+    run()
+    land(("g", "4", "old", "2020-01-01"), ("g", "4", "repeated", "2020-01-02"))
+    got = run()
+    assert ("g", "4", "old") in got and len(got) == 6
 
 
 @pytest.fixture
