@@ -1,4 +1,7 @@
-"""Registered queries of this folder, and SQL where SQL can express them."""
+"""Registered queries of this folder, and SQL where SQL can express them.
+
+The SQL of the two joins compares all pairs; it is meant for small folders.
+"""
 
 from __future__ import annotations
 
@@ -80,6 +83,56 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    "op2_chat_formatting": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+            union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+            sum(16 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\<>]', '', 'g')))::bigint
+                as formatted_chars
+        from turns group by conv_id""",
+    "op5_embedding_near_dedup": """
+        with recursive usable as (
+            select vec_id, label, embedding::double[] as e from embeddings
+            where label is not null and len(embedding) > 0
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as (
+            select a.vec_id as a, b.vec_id as b from usable a join usable b
+            on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                and list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach as (
+            select vec_id as a, vec_id as b from embeddings
+            union select r.a, l.b from reach r join links l on r.b = l.a),
+        counted as (select a, count(*) as n from links group by a)
+        select r.a as vec_id, coalesce(max(c.n), 0)::bigint as n_links, min(r.b) as component_id,
+            r.a = min(r.b) as kept
+        from reach r left join counted c on c.a = r.a group by r.a""",
+    "op9_ngram_jaccard_join": """
+        with recursive words as (
+            select doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents),
+        sets as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 1),
+                    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
+        shingles as (select doc_id, unnest(s) as x from sets),
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a
+            join shingles b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+        links as (
+            select p.a, p.b from shared p join sets x on x.doc_id = p.a join sets y on y.doc_id = p.b
+            where 100 * p.n >= 90 * (len(x.s) + len(y.s) - p.n)),
+        reach as (
+            select doc_id as a, doc_id as b from documents
+            union select r.a, l.b from reach r join links l on r.b = l.a)
+        select s.doc_id, len(any_value(s.s))::bigint as n_shingles, min(r.b) as component_id
+        from sets s join reach r on r.a = s.doc_id group by s.doc_id""",
     "op10_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
             doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
