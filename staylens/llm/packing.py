@@ -5,7 +5,7 @@ pieces, the first of which may be shorter. Packing needs only how many pieces
 there are of each length, at most ``capacity`` numbers: a plan is made from
 these counts. Single, pair and triple sums of the lengths still available are
 indexed; the longest open piece takes a combination that fills its gap exactly,
-as often as the counts allow; what is left is packed best-fit. Each step of the
+as often as the counts allow, and where there is none it is packed best-fit. Each step of the
 plan uses up at least one length, so a plan has at most ``capacity`` steps at
 any input size. Pieces then find their place from their rank among the pieces of
 the same length.
@@ -68,8 +68,8 @@ def pieces(
     )
 
 
-def _parts_of(gap: int, left: np.ndarray, used: dict[int, int]) -> list[int] | None:
-    """One, two or three available lengths that sum to the gap, longest first."""
+def _parts_of(gap: int, left: np.ndarray, used: dict[int, int], most: int = 3) -> list[int] | None:
+    """One, two or three available lengths (``most`` at most) that sum to the gap, longest first."""
 
     def enough(*lengths: int) -> bool:
         need = dict(used)
@@ -79,12 +79,16 @@ def _parts_of(gap: int, left: np.ndarray, used: dict[int, int]) -> list[int] | N
 
     if enough(gap):
         return [gap]
+    if most == 1:
+        return None
     open_ = np.flatnonzero(left[:gap] > 0)
     # Pair sums: a + b = gap with a >= b.
     first = open_[(2 * open_ >= gap) & (left[gap - open_] > 0)][::-1]
     for a in first.tolist():
         if enough(a, gap - a):
             return [a, gap - a]
+    if most == 2:
+        return None
     # Triple sums: the pair sums of what is available, looked up per first length.
     is_open = left[: gap + 1] > 0
     is_open[0] = False
@@ -97,12 +101,25 @@ def _parts_of(gap: int, left: np.ndarray, used: dict[int, int]) -> list[int] | N
     return None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Steps (number of sequences, [(length, pieces of it per sequence)])."""
+Steps = list[tuple[int, list[tuple[int, int]]]]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Steps:
+    """Steps (number of sequences, [(length, pieces of it per sequence)]).
+
+    Exact fills with more parts use up short pieces that other sequences would
+    need, so plans with at most three, two and one parts are made and the one
+    with the fewest sequences is taken.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda steps: sum(times for times, _ in steps))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> Steps:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in counts.items():
         left[n] = k
-    steps: list[tuple[int, list[tuple[int, int]]]] = []
+    steps: Steps = []
 
     def take(lengths: list[int]) -> None:
         per: dict[int, int] = {}
@@ -113,22 +130,28 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
             left[n] -= times * k
         steps.append((times, sorted(per.items(), reverse=True)))
 
-    if left[capacity]:
-        take([capacity])
-    for n in range(capacity - 1, 0, -1):
-        while left[n] and (found := _parts_of(capacity - n, left, {n: 1})):
-            take([n, *found])
-    # Best fit for the rest: the longest piece, then always the longest that fits.
-    while left.any():
-        n = int(np.flatnonzero(left)[-1])
-        chosen, gap, spare = [n], capacity - n, left.copy()
-        spare[n] -= 1
-        while gap and (fits := np.flatnonzero(spare[: gap + 1])).size:
+    def fill(n: int) -> list[int]:
+        """An exact fill if there is one, else the longest piece that fits and so on."""
+        chosen, used, gap = [n], {n: 1}, capacity - n
+        while gap:
+            if found := _parts_of(gap, left, used, most):
+                return chosen + found
+            spare = left[: gap + 1].copy()
+            for length, k in used.items():
+                if length <= gap:
+                    spare[length] -= k
+            fits = np.flatnonzero(spare > 0)
+            if not fits.size:
+                break
             n = int(fits[-1])
             chosen.append(n)
-            spare[n] -= 1
+            used[n] = used.get(n, 0) + 1
             gap -= n
-        take(chosen)
+        return chosen
+
+    for n in range(capacity, 0, -1):
+        while left[n]:
+            take(fill(n))
     return steps
 
 
