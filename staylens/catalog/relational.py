@@ -125,10 +125,14 @@ def _(t: Tables):
 
 @query("f2_align", """
     select id, hotel_id, cast(null as string) as source_review_id, review_text,
-        cast(null as double) as rating from {reviews_b}""")
+        cast(null as double) as rating from {reviews_b}
+    union all select id, hotel_id, null, review_text, null from {reviews_c}
+    union all select id, hotel_id, source_review_id, review_text, rating from {reviews_a}
+    union all select id, hotel_id, source_review_id, review_text, rating from {reviews_d}""")
 def _(t: Tables):
-    shape = "id long, hotel_id string, source_review_id string, review_text string, rating double"
-    return filters.align(t.reviews_b, table(shape))
+    shape = table("id long, hotel_id string, source_review_id string, review_text string, rating double")
+    a, b, c, d = (filters.align(arm, shape) for arm in (t.reviews_a, t.reviews_b, t.reviews_c, t.reviews_d))
+    return b.union(c).union(a).union(d)
 
 
 @query("f3_non_null_text", """
@@ -194,6 +198,18 @@ def _(t: Tables):
     return filters.review_texts(t.reviews.select(F.col("photo_name").alias("review_text")))
 
 
+@query("f10_review_texts_of_hotel", f"""
+    select review_text from {{reviews}} where hotel_id = '3' and length({trimmed('review_text')}) > 0""")
+def _(t: Tables):
+    return filters.review_texts(t.reviews, "3")
+
+
+@query("f10_visible_texts", f"""
+    select md5(review_text) as text_key from {{reviews}} where length({trimmed('review_text')}) > 0""")
+def _(t: Tables):
+    return filters.review_texts(t.reviews).select(F.md5("review_text").alias("text_key"))
+
+
 @query("f11_hotel_ids", "select hotel_id from {hotels_b}")
 def _(t: Tables):
     return filters.hotel_ids(t.hotels_b)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from staylens import schemas
@@ -200,6 +202,13 @@ def _(t: Tables):
     return merged.select("id", "label")
 
 
+@query("k8_materialise_table", "select hotel_id, name, city from {hotels_b}")
+def _(t: Tables):
+    name = f"staylens_{uuid.uuid4().hex}"
+    sinks.materialise(t.hotels_b.select("hotel_id", "name", "city"), name, "table")
+    return t.spark.table(name)
+
+
 @query("k8_materialise", """
     select id, table_source, cast(cast(review_date as date) as string) as review_date
     from {all_reviews}""")

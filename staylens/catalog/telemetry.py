@@ -64,7 +64,7 @@ def _(t: Tables):
         quantile_disc(value, 0.9) as q90, quantile_disc(value, 0.99) as q99
     from {telemetry} group by 1, 2""")
 def _(t: Tables):
-    out = telemetry.quantile_rollup(t.telemetry, ["metric", "model"], [0.5, 0.9, 0.99], 1_000_000)
+    out = telemetry.quantile_rollup(t.telemetry, ["metric", "model"], [0.5, 0.9, 0.99])
     named = [F.col("quantiles")[i].alias(f"q{q}") for i, q in enumerate((50, 90, 99))]
     return out.select("metric", "model", "events", *named)
 

@@ -62,9 +62,13 @@ def non_empty(*cols: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.col(c) != "") for c in cols])
 
 
-def review_texts(df: DataFrame) -> DataFrame:
-    """Texts with at least one visible character."""
-    return df.filter(F.length(trim_ws(F.col("review_text"))) > 0).select("review_text")
+def review_texts(df: DataFrame, hotel_id: str | None = None) -> DataFrame:
+    """Texts with at least one visible character; those of one hotel come newest first."""
+    seen = df.filter(F.length(trim_ws(F.col("review_text"))) > 0)
+    if hotel_id is not None:
+        newest = [F.desc("review_date"), F.desc("created_at")]
+        seen = seen.filter(F.col("hotel_id") == hotel_id).orderBy(*newest)
+    return seen.select("review_text")
 
 
 def hotel_ids(df: DataFrame) -> DataFrame:

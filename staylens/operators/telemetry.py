@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Upper bounds of the histogram buckets (the last bucket is open).
 BOUNDS = [0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]
@@ -48,17 +48,18 @@ def histogram_rollup(events: DataFrame, keys: list[str], bounds: list[float] = B
     )
 
 
-def quantile_rollup(events: DataFrame, keys: list[str], shares: list[float],
-                    accuracy: int = 10000) -> DataFrame:
-    """Approximate quantiles of the values, from mergeable sketches.
+def quantile_rollup(events: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """Exact quantiles: the smallest value that at least the given share of values does not exceed.
 
-    Ranks are off by at most ``rows / accuracy``, so groups with far fewer rows
-    than ``accuracy`` are exact.
+    Equal values are counted map-side first; a group of any size is ranked over
+    its different values only.
     """
-    return events.groupBy(*keys).agg(
-        F.count("value").alias("events"),
-        F.percentile_approx("value", shares, accuracy).alias("quantiles"),
-    )
+    per_value = events.groupBy(*keys, "value").agg(F.count("value").alias("_n"))
+    group = Window.partitionBy(*keys)
+    ranked = per_value.withColumns({
+        "_upto": F.sum("_n").over(group.orderBy("value")), "_all": F.sum("_n").over(group)})
+    at = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * s), F.col("value"))) for s in shares]
+    return ranked.groupBy(*keys).agg(F.sum("_n").alias("events"), F.array(*at).alias("quantiles"))
 
 
 def gauge_last(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Compare registered queries with their reference SQL on one data folder.
 
-Usage: python tools_check.py [folder] [name-prefix ...]
+Usage: python tools/check.py [folder] [name-prefix ...]
 """
 
 import math
