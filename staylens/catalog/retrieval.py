@@ -123,15 +123,22 @@ def sparse(df: DataFrame, id_col: str) -> DataFrame:
 
 
 @query("v2_vector_docs", f"""
-    select doc_id || '_chunk' || chunk_index as id, lang, source, sha256(chunk) as chunk_hash
-    from ({CHUNKS}) join (select doc_id, lang, source from {{documents}}) using (doc_id)""")
+    with chunks as (
+        select doc_id || '_chunk' || chunk_index as id, lang, source, chunk, chunk as body
+        from ({CHUNKS}) join (select doc_id, lang, source from {{documents}}) using (doc_id)),
+    texts as (select id, body from chunks), {HASHED}
+    select c.id, c.lang, c.source, sha256(c.chunk) as chunk_hash,
+        cast(w.bucket as int) as bucket, round(w.weight, 6) as weight
+    from chunks c join weights w on w.id = c.id""")
 def _(t: Tables):
     chunks = vectors.chunk(t.documents.select("doc_id", "lang", "source", "text"), text="text")
     embedded = vectors.embed(chunks, hashing_embedder(), "chunk")
     docs = vectors.vector_docs(embedded, ["lang", "source", "chunk"], "doc_id")
-    return docs.select(
-        "id", "metadata.lang", "metadata.source", F.sha2("metadata.chunk", 256).alias("chunk_hash")
+    weights = docs.select(
+        "id", "metadata.lang", "metadata.source", F.sha2("metadata.chunk", 256).alias("chunk_hash"),
+        F.posexplode("vector").alias("bucket", "weight"),
     )
+    return weights.filter("weight <> 0").withColumn("weight", F.round("weight", 6))
 
 
 @query("v3_embed", f"""
@@ -143,12 +150,16 @@ def _(t: Tables):
 
 @query("j13_attach_embedding", f"""
     with texts as (select doc_id as id, text as body from {{documents}}), {HASHED}
-    select d.doc_id, d.lang, d.n_chars, cast(64 as int) as dim, count(w.bucket) as used
+    select d.doc_id, d.lang, d.n_chars, cast(64 as int) as dim, count(w.bucket) as used,
+        round(max(w.weight), 6) as largest
     from {{documents}} d left join weights w on w.id = d.doc_id group by 1, 2, 3""")
 def _(t: Tables):
     out = vectors.embed(t.documents, hashing_embedder(), "text")
     used = F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint")
-    return out.select("doc_id", "lang", "n_chars", F.size("embedding").alias("dim"), used.alias("used"))
+    largest = F.round(F.array_max("embedding"), 6)
+    return out.select(
+        "doc_id", "lang", "n_chars", F.size("embedding").alias("dim"), used.alias("used"),
+        F.when(largest > 0, largest).alias("largest"))
 
 
 @query("x4_embedder", f"""

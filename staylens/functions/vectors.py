@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-
-import numpy as np
-from pyspark.ml.feature import Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from staylens.functions.text import words
+
 
 def has_vector(c: Column) -> Column:
     return F.coalesce(F.size(c) > 0, F.lit(False))
@@ -29,24 +27,26 @@ def mean_vectors(df: DataFrame, key: str, col: str = "embedding") -> DataFrame:
     return df.groupBy(key).agg(vector_to_array(mean).alias(col))
 
 
-def hashing_embedder(dim: int = 64):
-    """Deterministic bag-of-words embedder for offline runs.
+class HashingEmbedder:
+    """Deterministic bag-of-words embedder for offline runs, on columns.
 
-    Word counts go to ``md5(word) mod dim`` and the result has length one.
+    Word counts go to ``md5(word) mod dim`` and the result has length one; a
+    null text or one without words has the zero vector.
     """
 
-    def bucket(word: str) -> int:
-        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-
-    def embed(texts: list[str]) -> np.ndarray:
-        seen: dict[str, int] = {}
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for word, n in Counter((text or "").lower().split()).items():
-                if word not in seen:
-                    seen[word] = bucket(word)
-                out[row, seen[word]] += n
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norms, out=out, where=norms > 0)
-
-    return embed
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def transform(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        code = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")
+        bucket = F.transform(
+            words(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda w: (code(w) % self.dim).cast("string"))
+        counts = CountVectorizerModel.from_vocabulary(
+            [str(i) for i in range(self.dim)], inputCol="_buckets", outputCol="_counts")
+        unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
+        found = unit.transform(counts.transform(df.withColumn("_buckets", bucket)))
+        return found.withColumn(out, vector_to_array("_unit")).drop("_buckets", "_counts", "_unit")
+
+
+def hashing_embedder(dim: int = 64) -> HashingEmbedder:
+    return HashingEmbedder(dim)

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from staylens.functions.text import words
-from staylens.functions.vectors import has_vector
+from staylens.functions.vectors import HashingEmbedder, has_vector
 from staylens.session import shared_dir
 
 # Fixed values of the index and of chunking.
@@ -68,9 +68,15 @@ def vector_docs(chunks: DataFrame, metadata: list[str], id_col: str = "id") -> D
     )
 
 
-def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str,
+def embed(df: DataFrame, fn: HashingEmbedder | Callable[[list[str]], np.ndarray], text: str,
           out: str = "embedding", rows: int = 256) -> DataFrame:
-    """Append the vector of a text column; ``fn`` gets at most ``rows`` texts per call."""
+    """Append the vector of a text column.
+
+    An embedder with ``transform`` works on columns; a model given as a function
+    gets at most ``rows`` texts per call.
+    """
+    if hasattr(fn, "transform"):
+        return fn.transform(df, text, out)
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -105,8 +105,10 @@ def test_normalise_vectors(spark):
     assert got[2] == [0.0, 0.0]
 
 
-def test_hashing_embedder_has_unit_length():
-    out = vectors.hashing_embedder(16)(["a b a", "", None, "B  A a"])
+def test_hashing_embedder_has_unit_length(spark):
+    df = spark.createDataFrame(list(enumerate(["a b a", "", None, "B  A a"])), "i int, t string")
+    rows = vectors.hashing_embedder(16).transform(df, "t", "e").orderBy("i").collect()
+    out = np.array([r.e for r in rows])
     assert np.linalg.norm(out[0]) == pytest.approx(1)
     assert not out[1].any() and not out[2].any()
     assert out[0] == pytest.approx(out[3])
