@@ -7,7 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from staylens.session import shared_dir, store
 
 
+#: Rows that travel to Python at once; texts can be long, so fewer than Spark's default.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; from here on this session sends small batches to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -29,7 +29,7 @@ ROUNDS = 6
 LEAST_STEPS = 160
 THRESHOLD = 0.3
 #: Words a task remembers; only memory and speed depend on it.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 
 # ASCII letters and digits stay, other ASCII bytes separate words.
 TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -354,9 +354,10 @@ def fit(
 
 
 def score(
-    df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+    keep_text: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, carried columns, score, predicted, window_start, n_words.
+    """One row per input row: id, carried columns, the text if asked, score, predicted, window_start, n_words.
 
     ``window_start`` is the first word of the highest window. A null or empty
     text has one empty window. Ids, null ids and repeated rows pass through; an
@@ -368,22 +369,27 @@ def score(
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         index: dict[bytes, int] = {}
-        projected = net.project(net.inputs(word_features([b"0"])))
         index[b"0"] = 0
+        projected = np.empty((2, CACHED_WORDS, 3 * HIDDEN), np.float32)
+        projected[:, :1] = net.project(net.inputs(word_features([b"0"])))
         for frame in frames:
             for low in range(0, frame.num_rows, 256):
                 part = frame.slice(low, 256)
-                split = [words_of(t.as_py()) for t in part.column(part.num_columns - 1)]
+                split = [words_of(t.as_py() or "") for t in part.column(part.num_columns - 1)]
                 new = list({w for ws in split for w in ws}.difference(index))
                 if len(index) + len(new) > CACHED_WORDS and len(index) > 1:
                     index = {b"0": 0}
-                    projected = projected[:, :1]
                     new = list({w for ws in split for w in ws}.difference(index))
-                if new:
-                    index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                    more = [net.project(net.inputs(word_features(new[k: k + 20_000])))
-                            for k in range(0, len(new), 20_000)]
-                    projected = np.concatenate([projected, *more], axis=1)
+                if len(index) + len(new) > projected.shape[1]:
+                    # One slice of documents with more words than are remembered.
+                    wider = np.empty((2, len(index) + len(new), 3 * HIDDEN), np.float32)
+                    wider[:, : len(index)] = projected[:, : len(index)]
+                    projected = wider
+                for k in range(0, len(new), 20_000):
+                    some = new[k: k + 20_000]
+                    at = len(index)
+                    projected[:, at: at + len(some)] = net.project(net.inputs(word_features(some)))
+                    index.update(zip(some, range(at, at + len(some)), strict=True))
                 lengths = np.array([len(ws) for ws in split], np.int64)
                 words = np.fromiter((index[w] for ws in split for w in ws), np.int64, int(lengths.sum()))
                 doc, start, _, logits = score_windows(net, projected, words, lengths)
@@ -391,12 +397,16 @@ def score(
                 best = order[np.concatenate([np.flatnonzero(np.diff(doc[order])), [len(doc) - 1]])]
                 scores = _sigmoid(net.scale * logits[best].astype(np.float64) + net.shift)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)),
+                    [*part.columns[: len(names)], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)),
                      pa.array(start[best] - (np.cumsum(lengths) - lengths)), pa.array(lengths)],
-                    names=[*part.schema.names[:-1], "score", "predicted", "window_start", "n_words"],
+                    names=[*names, "score", "predicted", "window_start", "n_words"],
                 )
 
-    picked = df.select(*[F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(kinds)], text_or_empty(text_col).alias("body"))
-    schema = ", ".join(f"c{i} {k}" for i, (_, k) in enumerate(kinds))
+    body = F.col(text_col).cast("string").alias("body")
+    picked = df.select(*[F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(kinds)], body)
+    schema = ", ".join([*[f"c{i} {k}" for i, (_, k) in enumerate(kinds)], *(["body string"] if keep_text else [])])
+    names = picked.columns if keep_text else picked.columns[:-1]
     out = picked.mapInArrow(run, schema + ", score double, predicted int, window_start long, n_words long")
-    return out.withColumnsRenamed({f"c{i}": c for i, (c, _) in enumerate(kinds)})
+    kept = [F.col(f"c{i}").alias(c) for i, (c, _) in enumerate(kinds)] + (
+        [F.col("body").alias(text_col)] if keep_text else [])
+    return out.select(*kept, "score", "predicted", "window_start", "n_words")
