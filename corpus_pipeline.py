@@ -13,7 +13,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the given tables."""
     net = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return toxicity.score(docs, net, carry=(*rest, "text")).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, net, carry=rest, keep_text=True).where("predicted = 0").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
