@@ -28,6 +28,8 @@ TOXIC_ROWS, CLEAN_ROWS = 1200, 2400
 ROUNDS = 6
 LEAST_STEPS = 160
 THRESHOLD = 0.3
+#: A cut that does worse than this (F measure with twice the weight on precision) is not used.
+TRUSTED = 0.5
 #: Words a task remembers; only memory and speed depend on it.
 CACHED_WORDS = 150_000
 
@@ -330,6 +332,10 @@ def place_threshold(net: Network, peak: np.ndarray, y: np.ndarray) -> None:
     # Twice as much weight on precision: clean documents are to be left alone.
     f_half = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
     k = int(np.argmax(f_half))
+    if f_half[k] < TRUSTED:
+        # Nothing was learnt that could tell toxic rows: reject none.
+        net.scale, net.shift = float(a), float(math.log(THRESHOLD / (1 - THRESHOLD)) - a * (peak.max() + 3))
+        return
     cut = (peak[order[k]] + (peak[order[k + 1]] if k + 1 < len(y) else peak[order[k]] - 1)) / 2
     net.scale, net.shift = float(a), float(math.log(THRESHOLD / (1 - THRESHOLD)) - a * cut)
 
