@@ -232,11 +232,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     overlap = F.aggregate(
         F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    possible = (
+    possible = written(
         pairs.join(of("a", "n", "point"), "a").join(of("b", "n", "point"), "b")
-        .where(overlap * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
+        .where(overlap * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"),
+        "jaccard-possible",
     )
 
+    def hashes(side: str) -> DataFrame:
+        """Sets of one side of the pairs; those of no pair leave before they are shuffled."""
+        return marked(of(side, "hashes"), bitmap(possible.select(side), side), side).where("is_set").drop("is_set")
+
     def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             keep = []
@@ -246,7 +251,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(shared * (num + den) >= num * (len(x) + len(y)))
             yield frame.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = possible.join(of("a", "hashes"), "a").join(of("b", "hashes"), "b").select(
+    both = possible.join(hashes("a"), "a").join(hashes("b"), "b").select(
         "a", "b", "hashes_a", "hashes_b")
     return both.mapInArrow(check, f"a {kind}, b {kind}")
 
@@ -326,7 +331,7 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("p"))
         pairs = (
             open_.join(pivots, "key").where("comp <> p.comp")
-            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+            .select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
         )
         new = _verified(pairs, sets, num, den)
         found = written(new if found is None else found.union(new), "jaccard-links")
