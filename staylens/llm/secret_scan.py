@@ -1,8 +1,9 @@
 """Secret scan with a random forest against false positives (operator 7).
 
-Candidates are tokens of secret-like characters with a digit. A random forest
-judges each from its length, character transitions, dictionary coverage, path
-and neighbouring words. It is trained on labelled findings and then written
+Candidates are values assigned to a name of a secret and passwords in URLs,
+whatever their length and characters, and otherwise tokens of secret-like
+characters with a digit. A random forest judges each from its length, character
+transitions, dictionary coverage, path and neighbouring words. It is trained on labelled findings and then written
 out as a column expression, so that finding, judging and redacting happen in one
 pass over the texts: no shuffle, no join, no Python on the executors.
 """
@@ -15,18 +16,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from staylens.llm.common import text_or_empty, written
 
-#: A token that holds a digit. Possessive runs keep long tokens linear.
-SHAPE = r"A-Za-z0-9_+/.@-"
-CANDIDATE = rf"(?<![{SHAPE}])[A-Za-z_+/.@-]*+[0-9][{SHAPE}]*+"
-LEAST_CHARS = 12
 CONTEXT_CHARS = 48
+#: Long enough for a scheme and a user before a password.
+BEFORE_CHARS = 300
 #: Labelled findings of each class a forest is fitted on, at most.
 FINDINGS_ROWS = 4000
 TREES, DEPTH = 12, 5
 
 # Words that name secrets, words of placeholders and prose, path parts of examples.
 NAMING = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|auth\w*|credential\w*|bearer|signature)"
-ASSIGNED = r"""\s*(?:=>|:=|=|:|\s)\s*["'`]?$"""
 NUMBERING = r"(?i)(?:phone|tel|fax|card|account|invoice|order|ip|mail|isbn|page|id|date|version)\W*$"
 DICTIONARY = (
     "example sample dummy test fake placeholder changeme password secret token your here insert value admin user "
@@ -36,9 +34,47 @@ DICTIONARY = (
 EXAMPLE_PATH = r"(?i)(?:test|spec|example|sample|mock|fixture|doc|readme)"
 KNOWN_SHAPE = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})$"
 
+# A name of a secret as a name is written (author, passenger, tokenizer are none), what may follow in the name, a sign.
+SECRET_NAME = (
+    r"(?i:pass(?:word|wd|phrase|code)|(?<![A-Za-z])pass(?![a-z])|pwd|secret(?!ar)|token(?!i[sz])|(?:api|access|private).?key"
+    r"|auth(?!or|ent)|credential|bearer|signature)")
+SIGN = r"(?:=>|->|:=|={1,3}|>|:\s{0,4}\w{1,16}\s{0,4}=|:)"
+OPENING = r"""\\?["'`]"""
+ASSIGNING_TAIL = (
+    rf"[\w.-]{{0,32}}\\?[\"'`\])]{{0,2}}\s{{0,16}}{SIGN}\s{{0,16}}"
+    rf"(?:{OPENING})?(?:(?i:bearer|basic|token)\s{{1,4}})?")
+ASSIGNING = SECRET_NAME + ASSIGNING_TAIL
+ASSIGNED, ASSIGNED_TAIL = ASSIGNING + "$", ASSIGNING_TAIL + "$"
+PASSWORD = r"(?i:pass(?:word|wd|phrase|code)|pwd)"
+#: No white space before the value, or a quote: more than a colon in prose.
+FIRM = rf"(?:[=>]\s*|{OPENING}|\S)$"
+USER = r"://[^\s/:@]{0,255}:"
+# E-mail addresses; calls, variables, types and placeholders that stand where a secret would.
+ADDRESS = r"^[^@\s:]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"
+REFERENCE = (
+    r"^(?:\$[A-Za-z_]+|\$?\{.*|%[A-Za-z_]+%|<[^>]*>?)$|^\$\(|^[A-Za-z_][A-Za-z_.]*[(\[]|\*{3}|(?i:x{4})|^\.{3}"
+    r"|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$"
+    r"|^(?i:none|null|nil|true|false|undefined|str|string|int|bool|bytes|text|any|optional|required|yes|no)$")
+
+#: A token with a digit, 12 characters at least. Possessive runs keep long tokens linear.
+SHAPE = r"A-Za-z0-9_+/.@-"
+TOKEN = rf"(?<![{SHAPE}])(?=[{SHAPE}]{{12}})[A-Za-z_+/.@-]*+[0-9][{SHAPE}]*+"
+# An unquoted value ends before a quote at its end, the next assignment or a tag; closing punctuation is not part of it.
+STOP = r"""["'`](?![\w!@#$%&*+])|[,;&]["']?[\w.-]{1,32}["']?[=:]|</?[A-Za-z][^<>\s]{0,20}>"""
+BARE = rf"(?:(?!{STOP})\S)+(?<![.,;:)\]}}])"
+QUOTED = "|".join(rf"(?<={q})[^{q}\r\n]+(?<!\\)(?=\\?{q})" for q in "\"'`")
+#: Looked at only where a value can begin.
+NEAR_SIGN = rf"(?<=[=:>\s\"'`])(?=[^\s])(?<=(?:[=:>]|(?i:bearer|basic|token))\s{{0,16}}\\?[\"'`]?)"
+VALUE = rf"{NEAR_SIGN}(?<={ASSIGNING})(?!(?i:bearer|basic|token)\s)(?:{QUOTED}|(?![\"'`]){BARE})"
+# Up to the last @ of the authority, or, where a password holds / ? or #, of what has no space and is no port.
+URL_PASSWORD = (
+    rf"(?<=:)(?<={USER})(?:[^\s/?#\"'<>`]+(?=@)|(?![0-9]{{1,5}}[/?#])(?:(?!://)[^\s\"'<>`])+(?=@[A-Za-z0-9\[]))")
+CANDIDATE = rf"(?:{URL_PASSWORD}|{VALUE}|{TOKEN})"
+
 FEATURES = [
     "length", "digit_share", "upper_share", "symbol_share", "transitions", "distinct_share", "hex_share",
     "dictionary", "dotted", "at_sign", "known_shape", "named", "assigned", "numbering", "example_path",
+    "firm", "password", "url_password", "address", "reference",
 ]
 # Hand-labelled findings that every forest also sees: text before, candidate, path, label.
 SEEN = [
@@ -49,6 +85,23 @@ SEEN = [
     ("card ", "4929123456781234", "", 0), ("see ", "release-notes-2024.html", "docs/readme", 0),
     ("password=", "your-password-1-here", "docs/example", 0), ("at ", "2024-05-17T10:22:31", "", 0),
     ("token = ", "example_token_123", "tests/test_a", 0), ("img ", "image_20240517_0012.png", "", 0),
+    ("password=", "hunter2hunt", "", 1), ("password=", "correcthorsebattery", "", 1), ("passwd: ", "Tr0ub4dor&3", "", 1),
+    ("password = \"", "P@ss!w0rd#2024xyz", "", 1), ("pwd: '", "s3cr3t!", "", 1), ("DB_PASSWORD=", "kitten77", "", 1),
+    ("\"password\": \"", "blue-Horse_stapler", "", 1), ("password: ", "mountainriverlight", "", 1),
+    ("secret_key: ", "v3ry$ecretVal", "", 1), ("password=", "84729103", "", 1), ("passphrase: \"", "orbit lamp velvet ink", "", 1),
+    ("postgres://admin:", "s3cr3t", "", 1), ("https://bob:", "hunter", "", 1), ("redis://:", "p@ss/w0rd!", "", 1),
+    ("mysql://root:", "Zx9#kLm2", "", 1), ("amqp://user1:", "guestroomkey", "", 1),
+    ("Password=", "abc!9", "", 1), ("pwd=", "7h#q", "", 1), ("password=", "12345678", "", 1), ("pass: ", "k9!", "", 1),
+    ("pwd: ", "20406080", "", 1), ("ftp://me:", "pw1", "", 1),
+    ("the secret: ", "patience", "", 0), ("Token: ", "a", "", 0), ("password: ", "required", "", 0), ("secret: ", "nobody", "", 0),
+    ("password = ", "getpass.getpass()", "", 0), ("token = ", "None", "", 0), ("api_key=", "$API_KEY", "", 0),
+    ("password=", "changeme", "", 0), ("password: ", "string;", "", 0), ("secret = ", "os.environ[", "", 0),
+    ("max_tokens=", "2048", "", 0), ("tokens: ", "512", "", 0), ("password = ", "input(", "", 0),
+    ("secret=", "load_secret(key_id", "", 0), ("password = ", "read_value(4", "", 0), ("passwd=", "${DB_PASS}", "", 0),
+    ("token = ", "self.session.value", "", 0), ("api_key = ", "settings[", "", 0), ("password: ", "{{ vault_pw }}", "", 0),
+    ("token_limit = ", "100000", "", 0), ("password: ", "<password>", "", 0),
+    ("password=", "********", "", 0), ("http://user:", "password", "docs/readme", 0), ("token: ", "config.token", "", 0),
+    ("password: ", "and", "", 0), ("secret: ", "the", "", 0), ("credentials: ", "jane@mail.example.com", "", 0),
 ]
 
 
@@ -61,6 +114,7 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     dictionary = "(?i)(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"
     changes = F.regexp_count(value, F.lit(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"))
+    near = F.substring(before, F.greatest(F.length(before) - CONTEXT_CHARS + 1, F.lit(1)), F.lit(CONTEXT_CHARS))
     return {
         "length": F.length(value).cast("double"), "digit_share": _share(value, "[0-9]"),
         "upper_share": _share(value, "[A-Z]"), "symbol_share": _share(value, "[^A-Za-z0-9]"),
@@ -68,9 +122,12 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "hex_share": _share(value, "[0-9a-fA-F]"), "dictionary": _share(value, dictionary),
         "dotted": F.regexp_count(value, F.lit("[.]")).cast("double"), "at_sign": yes(F.contains(value, F.lit("@"))),
-        "known_shape": yes(value.rlike(KNOWN_SHAPE)), "named": yes(before.rlike(NAMING)),
-        "assigned": yes(before.rlike(NAMING + ASSIGNED)), "numbering": yes(before.rlike(NUMBERING)),
-        "example_path": yes(path.rlike(EXAMPLE_PATH)),
+        "known_shape": yes(value.rlike(KNOWN_SHAPE)), "named": yes(near.rlike(NAMING)),
+        "assigned": yes(before.rlike(ASSIGNED)), "numbering": yes(near.rlike(NUMBERING)),
+        "example_path": yes(path.rlike(EXAMPLE_PATH)), "firm": yes(near.rlike(FIRM)),
+        "password": yes(before.rlike(PASSWORD + ASSIGNED_TAIL)),
+        "url_password": yes(before.rlike(USER + "$")), "address": yes(value.rlike(ADDRESS)),
+        "reference": yes(value.rlike(REFERENCE)),
     }
 
 
@@ -82,11 +139,7 @@ def candidates(text: Column) -> Column:
         first = state["at"] + F.length(pair["gap"])
         value = pair["found"]
         here = F.array(F.struct(first.alias("start"), value.alias("value")))
-        keep = F.length(value) >= LEAST_CHARS
-        return F.struct(
-            (first + F.length(value)).alias("at"),
-            F.when(keep, F.concat(state["spans"], here)).otherwise(state["spans"]).alias("spans"),
-        )
+        return F.struct((first + F.length(value)).alias("at"), F.concat(state["spans"], here).alias("spans"))
 
     def of(t: Column) -> Column:
         gaps, found = F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
@@ -95,8 +148,8 @@ def candidates(text: Column) -> Column:
         pairs = F.filter(pairs, lambda p: p["found"].isNotNull())
         return F.transform(F.aggregate(pairs, start, step)["spans"], lambda s: F.struct(
             s["start"].alias("start"), s["value"].alias("value"),
-            F.substring(t, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)),
-                        F.least(s["start"], F.lit(CONTEXT_CHARS))).alias("before")))
+            F.substring(t, F.greatest(s["start"] - BEFORE_CHARS + 1, F.lit(1)),
+                        F.least(s["start"], F.lit(BEFORE_CHARS))).alias("before")))
 
     return F.get(F.transform(F.array(text), of), F.lit(0))
 
@@ -104,12 +157,18 @@ def candidates(text: Column) -> Column:
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labelled findings from the corpus itself, where none are given.
 
-    A known shape, or a value that is assigned to a name of a secret and not
-    made of dictionary words, is a secret; other candidates are not.
+    A known shape, a password in a URL, or a value that is assigned to a name of
+    a secret, is a secret, unless it is made of dictionary words or refers to
+    something. Values of letters alone count from 6 characters, of digits alone
+    from 6 behind a password's name; others are not.
     """
     f = features(F.col("value"), F.col("before"), F.col("path"))
+    size, letters = f["length"], (f["digit_share"] == 0) & (f["symbol_share"] == 0)
+    named = F.when(letters, (f["firm"] > 0) & (size >= 6)).when(
+        f["digit_share"] == 1, (f["firm"] > 0) & (size >= 6) & (f["password"] > 0)
+    ).otherwise(f["address"] == 0)
     secret = (f["known_shape"] > 0) | (
-        (f["assigned"] > 0) & (f["dictionary"] < 0.4) & (f["at_sign"] == 0) & (f["digit_share"] < 1))
+        ((f["url_password"] > 0) | (f["assigned"] > 0) & named) & (f["dictionary"] < 0.4) & (f["reference"] == 0))
     return found.withColumn("label", secret.cast("double"))
 
 
@@ -130,14 +189,18 @@ def fit(df: DataFrame, text_col: str = "text", path_col: str | None = None, labe
     rows = (
         one.where("label = 1").orderBy(order, "path").limit(most)
         .union(one.where("label = 0").orderBy(order, "path").limit(most))
-        .union(df.sparkSession.createDataFrame(
-            [(b, v, p, float(y)) for b, v, p, y in SEEN], "before string, value string, path string, label double"))
-    )
+    ).withColumn("seen", F.lit(False)).union(df.sparkSession.createDataFrame(
+        [(b, v, p, float(y), True) for b, v, p, y in SEEN],
+        "before string, value string, path string, label double, seen boolean"))
     f = features(F.col("value"), F.col("before"), F.col("path"))
-    rows = written(rows.select("label", *[f[c].alias(c) for c in FEATURES]), "secret-findings")
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
+    rows = written(rows.select("label", "seen", *[f[c].alias(c) for c in FEATURES]), "secret-findings")
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+    # The hand-labelled rows weigh as much as the others together, so that forms the corpus lacks are not forgotten.
+    weight = max(1.0, rows.where("not seen").count() / len(SEEN))
+    data = data.select("label", "features", F.when(F.col("seen"), weight).otherwise(1.0).alias("weight"))
     model = RandomForestClassifier(
-        numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="onethird", subsamplingRate=0.8).fit(data)
+        numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="onethird", subsamplingRate=0.8,
+        weightCol="weight").fit(data)
 
     def tree(node) -> dict:
         if node.subtreeDepth() == 0:

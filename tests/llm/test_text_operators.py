@@ -240,3 +240,36 @@ def test_secrets(docs):
 def test_secret_forest_fits_without_findings(docs):
     trees = secret_scan.fit(docs([None, ""]))
     assert secret_scan.scan(docs(["password=9f8e7d6c5b4a392817"]), trees).first().findings
+
+
+# Values behind a sign or in a URL: short, without digits, with symbols.
+WIDE = {
+    "password=hunter2hunt": "hunter2hunt", "password=correcthorsebattery": "correcthorsebattery",
+    "password=Tr0ub4dor&3": "Tr0ub4dor&3", "password=P@ss!w0rd#2024xyz": "P@ss!w0rd#2024xyz",
+    "x password='correct horse battery' y": "correct horse battery", "see (password: Abc12345).": "Abc12345",
+    "get /x?token=abc123XYZ&user=bob": "abc123XYZ", "at https://bob:hunter2@host/x": "hunter2",
+    "at redis://:pw1@host": "pw1", "at postgres://u:p@ss!w0rd@db:5432/x": "p@ss!w0rd",
+}
+PROSE = ["the secret: nobody knows", "author: John Smith", "password = getpass.getpass()", "max_tokens=2048",
+         "password=changeme", "tokens: 500 left", "at http://host:8080/p?e=a@b.com", "api_key=$API_KEY"]
+
+
+def secrets_of(frame, trees):
+    rows = secret_scan.scan(frame, trees, path_col="source").orderBy("doc_id").collect()
+    return [[f.value for f in r.findings] for r in rows]
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_assigned_values_and_url_passwords(docs, copies):
+    learnt = docs([f"{i} {t}" for i in range(copies) for t in [*SECRETS, *[h for h in HARMLESS if h]]])
+    trees = secret_scan.fit(learnt, path_col="source")
+    frame = docs([*WIDE, *PROSE])
+    assert secrets_of(frame, trees) == [[s] for s in WIDE.values()] + [[]] * len(PROSE)
+    clean = [r.text for r in secret_scan.redact(frame, trees, path_col="source").orderBy("doc_id").collect()]
+    assert clean == [t.replace(s, "<secret>") for t, s in WIDE.items()] + PROSE
+
+
+def test_long_values_do_not_overflow(docs):
+    trees = secret_scan.fit(docs([None]))
+    texts = ["password=" + "a&" * 300_000, "ftp://a:" + "b@" * 200_000 + "h", "password" + " " * 200_000 + "=x", "=" * 100_000]
+    assert [r.n_candidates for r in secret_scan.scan(docs(texts), trees).orderBy("doc_id").collect()] == [1, 1, 0, 0]
