@@ -41,6 +41,13 @@ def test_trie_ids_equal_library_ids(tokenizer):
         assert np.frombuffer(whole(text), "<u4").tolist() == want.ids, repr(text)
 
 
+def test_long_white_space(tokenizer):
+    whole = byte_bpe.text_encoder(TOKENIZER)
+    for text in ("a " + " " * 2_000_000 + "b c", "\n" * 2_000_000, "x<|endoftext|>" + " \n" * 1_000_000 + "y"):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(whole(text), "<u4").tolist() == want
+
+
 def test_every_token_borders_like_merging(tokenizer):
     merges = bpe_trie.Merges(TOKENIZER)
     rnd = random.Random(2)
