@@ -411,7 +411,7 @@ def write_answer(prompts: list[str]) -> list[str]:
 
 
 def search_all(t: Tables) -> dict[str, DataFrame]:
-    """Every user turn as a search over every indexed document."""
+    """Every user turn as a search over the documents that have a given vector."""
     embedder = hashing_embedder()
     items = vectors.embed(t.items.drop("embedding"), embedder, "review_text")
     # The index is built and stored once, then searched.
