@@ -57,7 +57,7 @@ def op6_bpe_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = secret_scan.scan(docs, secret_scan.fit(docs, path_col="source"), path_col="source")
+    found = secret_scan.scan(docs, path_col="source")
     starts = F.transform("findings", lambda m: m["start"])
     return found.select(
         "doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"),

@@ -145,27 +145,39 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def candidates(text: Column) -> Column:
-    """Candidates of a text in order: start (from 0), value, text before."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("spans"))
+def pieces(text: Column) -> Column:
+    """A text cut at its candidates: gap, value, start of the value (from 0) and text before it; the last value is null.
+
+    Gaps and values together are the text. The text before a value is carried along
+    from piece to piece, so time grows in proportion to the text.
+    """
+    kind = "array<struct<gap:string,value:string,start:int,before:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("done"))
 
     def step(state: Column, pair: Column) -> Column:
         first = state["at"] + F.length(pair["gap"])
-        value = pair["found"]
-        here = F.array(F.struct(first.alias("start"), value.alias("value")))
-        return F.struct((first + F.length(value)).alias("at"), F.concat(state["spans"], here).alias("spans"))
+        before = F.right(F.concat(state["tail"], pair["gap"]), F.lit(BEFORE_CHARS))
+        here = F.struct(pair["gap"].alias("gap"), pair["found"].alias("value"), first.alias("start"), before.alias("before"))
+        return F.struct(
+            (first + F.coalesce(F.length(pair["found"]), F.lit(0))).alias("at"),
+            F.right(F.concat(before, F.coalesce(pair["found"], F.lit(""))), F.lit(BEFORE_CHARS)).alias("tail"),
+            F.array_append(state["done"], here).alias("done"))
+
+    # Arrays side by side, so that each is made once.
+    pairs = F.zip_with(
+        F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
+        lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
+    return F.aggregate(pairs, start, step)["done"]
+
+
+def candidates(text: Column) -> Column:
+    """Candidates of a text in order: start (from 0), value, text before."""
+    return F.transform(F.filter(pieces(text), lambda p: p["value"].isNotNull()), lambda p: F.struct(
+        p["start"].alias("start"), p["value"].alias("value"), p["before"].alias("before")))
 
-    def of(t: Column) -> Column:
-        gaps, found = F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
-        # Arrays side by side, so that each is made once.
-        pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-        pairs = F.filter(pairs, lambda p: p["found"].isNotNull())
-        return F.transform(F.aggregate(pairs, start, step)["spans"], lambda s: F.struct(
-            s["start"].alias("start"), s["value"].alias("value"),
-            F.substring(t, F.greatest(s["start"] - BEFORE_CHARS + 1, F.lit(1)),
-                        F.least(s["start"], F.lit(BEFORE_CHARS))).alias("before")))
 
-    return F.get(F.transform(F.array(text), of), F.lit(0))
+def _path(path_col: str | None) -> Column:
+    return F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
@@ -198,16 +210,27 @@ def fit(df: DataFrame, text_col: str = "text", path_col: str | None = None, labe
     are chosen by hash of the value, so copies do not fill the sample.
     """
     if labelled is None:
-        path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-        found = df.select(F.explode(candidates(text_or_empty(text_col))).alias("c"), path.alias("path")).select(
-            "c.value", "c.before", "path")
-        labelled = rule_labels(found)
+        return _fit_found(df.select(candidates(text_or_empty(text_col)).alias("found"), _path(path_col).alias("path")),
+                          most, seed)
+    return _forest(labelled, most, seed)
+
+
+def _fit_found(rows: DataFrame, most: int = FINDINGS_ROWS, seed: int = 3) -> list[dict]:
+    """Trees from the candidates in ``found`` of (found, path), labelled by rule; they are found once for both classes."""
+    each = rows.select(F.explode("found").alias("c"), "path").where("c.value is not null").select(
+        "c.value", "c.before", "path")
+    return _forest(written(rule_labels(each).where("label is not null"), "secret-labelled"), most, seed)
+
+
+def _forest(labelled: DataFrame, most: int, seed: int) -> list[dict]:
+    """Fits the forest and returns its trees."""
+    spark = labelled.sparkSession
     order = F.xxhash64("value", "before")
     one = labelled.select("before", "value", "path", F.col("label").cast("double").alias("label"))
     rows = (
         one.where("label = 1").orderBy(order, "path").limit(most)
         .union(one.where("label = 0").orderBy(order, "path").limit(most))
-    ).withColumn("seen", F.lit(False)).union(df.sparkSession.createDataFrame(
+    ).withColumn("seen", F.lit(False)).union(spark.createDataFrame(
         [(b, v, p, float(y), True) for b, v, p, y in SEEN],
         "before string, value string, path string, label double, seen boolean"))
     f = features(F.col("value"), F.col("before"), F.col("path"))
@@ -245,57 +268,64 @@ def probability(trees: list[dict], f: Column) -> Column:
     return total / len(trees)
 
 
+def _judged(c: Column, path: Column, trees: list[dict]) -> Column:
+    """Probability of a candidate; its features are bound to a name, so that each is computed once."""
+    f = features(c["value"], c["before"], path)
+    return F.get(F.transform(
+        F.array(F.struct(*[v.alias(k) for k, v in f.items()])), lambda row: probability(trees, row)), F.lit(0))
+
+
+def _findings(found: Column, path: Column, trees: list[dict], least: float) -> Column:
+    return F.filter(
+        F.transform(found, lambda c: F.struct(
+            c["start"].alias("start"), F.length(c["value"]).alias("length"), _judged(c, path, trees).alias("score"),
+            c["value"].alias("value"))),
+        lambda m: m["score"] >= least)
+
+
 def scan(
-    df: DataFrame, trees: list[dict], id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None,
-    least: float = 0.5, carry: tuple[str, ...] = (),
+    df: DataFrame, trees: list[dict] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    path_col: str | None = None, least: float = 0.5, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: carried columns, id, n_candidates, findings (start, length, score, value).
 
     Starts and lengths are in code points. Null and empty texts have no
     candidates; a null path counts as empty. Repeated rows and null ids pass
     through; an empty table gives an empty result; other columns are ignored.
+    Without ``trees`` a forest is fitted on the candidates of ``df``, which are
+    then searched for once and stored without the texts.
     """
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-
-    def judged(c: Column) -> Column:
-        f = features(c["value"], c["before"], F.col("place"))
-        # Bound to a name, so that each feature is computed once.
-        score = F.get(F.transform(
-            F.array(F.struct(*[v.alias(k) for k, v in f.items()])), lambda row: probability(trees, row)), F.lit(0))
-        return F.struct(c["start"].alias("start"), F.length(c["value"]).alias("length"), score.alias("score"),
-                        c["value"].alias("value"))
-
-    found = df.select(
-        F.col(id_col), *[F.col(c) for c in carry], path.alias("place"), candidates(text_or_empty(text_col)).alias("all"))
-    return found.select(
-        id_col, *carry, F.size("all").cast("long").alias("n_candidates"),
-        F.filter(F.transform("all", judged), lambda m: m["score"] >= least).alias("findings"),
-    )
+    rows = df.select(
+        F.struct(F.col(id_col), *[F.col(c) for c in carry]).alias("row"), _path(path_col).alias("path"),
+        candidates(text_or_empty(text_col)).alias("found"))
+    if trees is None:
+        rows = written(rows, "secret-candidates")
+        trees = _fit_found(rows)
+    return rows.select(
+        "row.*", F.size("found").cast("long").alias("n_candidates"),
+        _findings(F.col("found"), F.col("path"), trees, least).alias("findings"))
 
 
 def redact(
-    df: DataFrame, trees: list[dict], text_col: str = "text", path_col: str | None = None, least: float = 0.5,
-    mark: str = "<secret>",
+    df: DataFrame, trees: list[dict] | None = None, text_col: str = "text", path_col: str | None = None,
+    least: float = 0.5, mark: str = "<secret>",
 ) -> DataFrame:
-    """All rows and columns of ``df``; in the text each secret is replaced by ``mark``. A null text stays null."""
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-
-    def clean(t: Column) -> Column:
-        def judged(c: Column) -> Column:
-            f = features(c["value"], c["before"], path)
-            return F.get(F.transform(
-                F.array(F.struct(*[v.alias(k) for k, v in f.items()])), lambda row: probability(trees, row)), F.lit(0))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """All rows and columns of ``df``; in the text each secret is replaced by ``mark``.
 
-        def step(state: Column, c: Column) -> Column:
-            part = F.concat(F.substring(t, state["at"] + 1, c["start"] - state["at"]), F.lit(mark))
-            return F.struct((c["start"] + F.length(c["value"])).alias("at"),
-                            F.array_append(state["parts"], part).alias("parts"))
-
-        secrets = F.filter(candidates(t), lambda c: judged(c) >= least)
-        return F.aggregate(secrets, start, step, lambda s: F.concat(
-            F.array_join(s["parts"], ""), F.substring(t, s["at"] + 1, F.length(t))))
-
-    return df.withColumn(text_col, F.get(F.transform(F.array(F.col(text_col)), lambda t: F.when(
-        t.isNull(), t).otherwise(clean(t))), F.lit(0)))
+    A null text stays null, an empty one empty; repeated rows pass through; an
+    empty table gives an empty result; other columns keep their names and values.
+    Without ``trees`` a forest is fitted on the candidates of ``df``; the texts
+    are then cut into pieces once and stored in that form.
+    """
+    rows = df.select(
+        F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("row") if len(df.columns) > 1
+        else F.lit(None).alias("row"),
+        _path(path_col).alias("path"), pieces(F.col(text_col).cast("string")).alias("found"))
+    if trees is None:
+        rows = written(rows, "secret-pieces")
+        trees = _fit_found(rows)
+    shown = F.transform("found", lambda p: F.concat(
+        p["gap"], F.when(p["value"].isNull(), "").when(_judged(p, F.col("path"), trees) >= least, mark)
+        .otherwise(p["value"])))
+    return rows.select(*[
+        F.array_join(shown, "").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
