@@ -28,6 +28,8 @@ SYMBOLS = 16
 COUNTED_WORDS = 200_000
 #: Characters of a text that are cut into words at once.
 PIECE_CHARS = 1 << 20
+#: Keys that a task makes at once.
+KEYS_AT_ONCE = 1 << 20
 #: Bits of the filter for reduced words that no word has: 8 MiB, whatever the input.
 KEY_BITS = 1 << 26
 
@@ -105,18 +107,22 @@ def reduced_key(word: str, count: int, powers: np.ndarray) -> int:
     return int((r * powers[: len(r)]).sum(dtype=np.uint64))
 
 
-def neighbourhood(word: str, count: int, powers: np.ndarray) -> Iterator[np.ndarray]:
-    """Keys of all reduced words at most one edit from that of a word, an array per kind of edit and letter."""
-    r = symbols(word, count)
-    m = len(r)
+def neighbourhoods(words: list[str], count: int, powers: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of all reduced words at most one edit from those of words of one length: arrays with a row per word."""
+    m = len(words[0])
+    r = symbols("".join(words), count).reshape(len(words), m)
     p = powers[: m + 1]
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(r * p[:m], dtype=np.uint64)])
-    total = before[-1]
-    yield before[:-1] + (total - before[1:]) * np.uint64(INVERSE)
+    before = np.concatenate(
+        [np.zeros((len(words), 1), np.uint64), np.cumsum(r * p[:m], axis=1, dtype=np.uint64)], axis=1)
+    total = before[:, -1:]
+    yield before[:, :-1] + (total - before[:, 1:]) * np.uint64(INVERSE)
     shifted = before + (total - before) * np.uint64(BASE)
-    for letter in np.arange(1, count + 1, dtype=np.uint64):
-        yield total + (letter - r) * p[:m]
-        yield shifted + letter * p
+    # As many letters at once as fit a block of keys.
+    some = max(1, KEYS_AT_ONCE // (len(words) * (m + 1)))
+    for start in range(1, count + 1, some):
+        letters = np.arange(start, min(start + some, count + 1), dtype=np.uint64)[:, None]
+        yield (total[:, None] + (letters - r[:, None]) * p[:m]).reshape(len(words), -1)
+        yield (shifted[:, None] + letters * p).reshape(len(words), -1)
 
 
 class Powers:
@@ -166,23 +172,26 @@ def _neighbours(words: DataFrame, count: int, used) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), np.frombuffer(used.value, np.uint8)
 
-        def among(keys: np.ndarray) -> np.ndarray:
-            bit = keys & (KEY_BITS - 1)
-            return keys[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
-
         for frame in frames:
-            for start in range(0, frame.num_rows, 1024):
-                part = frame.slice(start, 1024)
-                keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for i, word in enumerate(part.column(0).to_pylist()):
-                    own = np.unique(np.concatenate([
-                        among(k.view(np.int64)) for k in neighbourhood(word, count, powers.upto(len(word)))]))
-                    keys.append(own)
-                    at.append(np.full(len(own), i))
-                rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), part.column(0).take(rows), part.column(1).take(rows)],
-                    names=["key", "word", "n"])
+            own = frame.column(0).to_pylist()
+            by_length: dict[int, list[int]] = {}
+            for i, word in enumerate(own):
+                by_length.setdefault(len(word), []).append(i)
+            for m, group in by_length.items():
+                step = max(1, KEYS_AT_ONCE // ((2 * count + 1) * (m + 1)))
+                for start in range(0, len(group), step):
+                    part = np.array(group[start: start + step])
+                    found = []
+                    for keys in neighbourhoods([own[i] for i in part], count, powers.upto(m)):
+                        keys = keys.view(np.int64)
+                        bit = keys & (KEY_BITS - 1)
+                        at, where = np.nonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                        found.append(np.stack([part[at], keys[at, where]]))
+                    at, keys = np.unique(np.concatenate(found, axis=1), axis=1)
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys), frame.column(0).take(rows), frame.column(1).take(rows)],
+                        names=["key", "word", "n"])
 
     return words.select("word", "n").mapInArrow(run, "key long, word string, n long")
 
