@@ -91,15 +91,32 @@ def coverage_flags(df: DataFrame, n: int = LOW_COUNT) -> DataFrame:
     )
 
 
-def restrict(item: dict[str, Column], query: dict[str, Column]) -> Column:
-    """Index restricts of a query on an item; unset parts of the query admit all."""
-    continent = query["continent"].isNull() | (query["continent"] == "")
-    place = (item["city"] == query["city"]) & (item["country"] == query["country"])
-    return (
-        (continent | (item["continent"] == query["continent"]))
-        & (~query["filter_city_country"] | place)
-        & (~query["filter_rating"] | (item["rating"] >= query["rating"]))
-    )
+def _key(continent: Column | None, city: Column | None, country: Column | None) -> Column:
+    """Text of a restrict key; a part that is left open admits all."""
+    parts = [F.lit("*") if c is None else F.concat(F.lit("="), c) for c in (continent, city, country)]
+    return F.concat(*[F.concat(p, F.lit("\x1e")) for p in parts])
+
+
+def admitted_keys(item: dict[str, Column]) -> Column:
+    """The restrict keys an item is admitted by: each part its own or open; a null part only open."""
+    continent, city, country = (item[c] for c in ("continent", "city", "country"))
+    keys = [_key(None, None, None)]
+    placed = city.isNotNull() & country.isNotNull()
+    keys.append(F.when(continent.isNotNull(), _key(continent, None, None)))
+    keys.append(F.when(placed, _key(None, city, country)))
+    keys.append(F.when(continent.isNotNull() & placed, _key(continent, city, country)))
+    return F.array_compact(F.array(*keys))
+
+
+def restrict_key(query: dict[str, Column]) -> Column:
+    """The one restrict key a query asks for; a null key, asked by a null place, admits nothing."""
+    anywhere = query["continent"].isNull() | (query["continent"] == "")
+    city, country = query["city"], query["country"]
+    return F.when(
+        query["filter_city_country"],
+        F.when(anywhere, F.when(city.isNotNull() & country.isNotNull(), _key(None, city, country)))
+        .when(city.isNotNull() & country.isNotNull(), _key(query["continent"], city, country)),
+    ).when(anywhere, _key(None, None, None)).otherwise(_key(query["continent"], None, None))
 
 
 def normalise_queries(df: DataFrame, question: str, model: str) -> DataFrame:

@@ -1,29 +1,33 @@
 """Chunking, embedding and nearest-neighbour search.
 
-Search never pairs rows through a join. A block of queries of bounded size is
-shipped to the tasks, each task scores its Arrow batches against the block with
-one matrix product and keeps its best ``k`` per query, and only these
-candidates are shuffled. Items stay where they are, so no label, leaf or
-duplicate vector can overload a task. A query set larger than a block is
-searched block by block.
+Search joins blocks, not rows. Items are packed where they lie into blocks of
+vectors that share a key (a leaf of the index, a set of restricts, or one key for
+all); queries are packed the same way and copied once per salt of their key.
+The equi-join of the two lets Spark choose: a small set of query blocks is broadcast
+by its measured size and the items do not move; a large one meets the
+item blocks in a shuffle, where the salts keep a hot key spread out. Each pair of
+blocks is one matrix product that passes on at most ``k`` items per query (more
+only where scores tie).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from staylens.functions.text import words
 from staylens.functions.vectors import HashingEmbedder, has_vector
-from staylens.session import shared_dir
+from staylens.operators.filters import admitted_keys, restrict_key
+from staylens.session import shared_dir, store
 
 # Fixed values of the index and of chunking.
 CHUNK_TOKENS = 512
@@ -33,11 +37,14 @@ LEAF_SHARE = 0.05
 METRICS = ("cosine", "dot", "euclidean")
 RESTRICT_COLUMNS = ("continent", "city", "country", "rating")
 
-# Bounds on what is shipped to tasks, and on the item rows of one matrix product.
-BLOCK_ROWS = 4096
-PRODUCT_ROWS = 2048
-MAX_LEAVES = 4096
-TRAIN_ROWS_PER_LEAF = 256
+# Rows of the blocks of one matrix product.
+ITEM_BLOCK, QUERY_BLOCK = 2048, 512
+# Query blocks whose floors a task remembers; more only cost some pruning.
+REMEMBERED_BLOCKS = 1024
+# Index: training rows per centre, leaves of one cell, and items that one task assigns at once.
+TRAIN_ROWS = 128
+CELL_LEAVES = 4096
+ASSIGNED_ROWS = 1 << 16
 
 # Scores are compared at this precision, so equal vectors tie whatever order
 # the matrix product sums in; ties go to the smaller id.
@@ -118,277 +125,280 @@ def _scores(items: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return np.round(out, SCORE_DIGITS)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k by score, ties by id."""
-    if len(ids) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= floor)
-        ids, scores = ids[near], scores[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-class _Block:
-    """Queries of one pass, grouped by equal restricts."""
-
-    def __init__(self, table: pa.Table, restricted: bool):
-        self.ids = table["query_id"].to_pylist()
-        self.id_type = table.schema.field("query_id").type
-        self.vectors = _matrix(table["embedding"])
-        self.leaves = table["_leaves"].to_pylist() if "_leaves" in table.column_names else None
-        self.groups: dict[tuple, list[int]] = {}
-        for at, row in enumerate(table.drop_columns(["embedding"]).to_pylist()):
-            key = ()
-            if restricted:
-                place = (row["city"], row["country"]) if row["filter_city_country"] else None
-                key = (
-                    row["continent"] or None, place,
-                    float(row["rating"]) if row["filter_rating"] else None,
-                )
-            self.groups.setdefault(key, []).append(at)
-
-
-class _Coded:
-    """String column as integer codes, so that restricts compare numbers."""
-
-    def __init__(self, column: pa.Array):
-        coded = column.dictionary_encode()
-        self.codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        self.code_of = {value: at for at, value in enumerate(coded.dictionary.to_pylist())}
-
-    def equals(self, value: str) -> np.ndarray:
-        return self.codes == self.code_of.get(value, -2)
-
-
-def _admitted(batch: dict, key: tuple, n: int) -> np.ndarray:
-    """Positions of the items that pass the restricts of a query group."""
-    ok = np.ones(n, dtype=bool)
-    if key:
-        continent, place, rating = key
-        if continent is not None:
-            ok &= batch["continent"].equals(continent)
-        if place is not None:
-            ok &= batch["city"].equals(place[0]) & batch["country"].equals(place[1])
-        if rating is not None:
-            ok &= batch["rating"] >= rating
-    return np.flatnonzero(ok)
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, PRODUCT_ROWS):
-        yield batch.slice(start, PRODUCT_ROWS)
-
-
-def _scan(items: DataFrame, block: _Block, k: int, metric: str, restricted: bool,
-          query_kind: str) -> DataFrame:
-    """Candidates of one query block: at most k per query and task."""
-    columns = ["id", "embedding"]
-    columns += RESTRICT_COLUMNS if restricted else ()
-    columns += ["leaf"] if block.leaves is not None else []
-    id_kind = dict(items.dtypes)["id"]
-    probed = _probe_table(block.leaves) if block.leaves is not None else None
+def _packed(rows: DataFrame, names: dict[str, str], size: int) -> DataFrame:
+    """Rows as blocks: key, copies, and each named column as one list (vectors flattened).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        # Score an item must reach to enter a query's best k.
-        floor = np.full(len(block.ids), -np.inf)
-        id_type = None
-        for batch in (part for whole in batches for part in _slices(whole)):
-            n = batch.num_rows
-            id_type = batch.schema.field("id").type
-            ids = batch["id"].to_numpy(zero_copy_only=False)
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            vectors = _matrix(batch["embedding"])
-            arrays = {}
-            if restricted:
-                arrays = {c: _Coded(batch[c]) for c in RESTRICT_COLUMNS[:3]}
-                rating = batch["rating"].to_numpy(zero_copy_only=False)
-                arrays["rating"] = rating.astype("float64")
-            leaf = batch["leaf"].to_numpy() if probed is not None else None
-            for key, group in block.groups.items():
-                rows = _admitted(arrays, key, n)
-                members = np.asarray(group)
-                if probed is not None:
-                    # Only queries that probe a leaf of this slice are scored.
-                    present = np.unique(leaf[rows])
-                    members = members[probed[members][:, present].any(axis=1)]
-                if len(rows) == 0 or len(members) == 0:
-                    continue
-                scores = _scores(vectors[rows], block.vectors[members], metric)
-                better = scores >= floor[members]
-                if probed is not None:
-                    better &= probed[members][:, leaf[rows]].T
-                for j in np.flatnonzero(better.any(axis=0)):
-                    at, hit = members[j], better[:, j]
-                    near, value = ids[rows[hit]], scores[hit, j]
-                    if at in best:
-                        near = np.concatenate([best[at][0], near])
-                        value = np.concatenate([best[at][1], value])
-                    best[at] = _best(near, value, k)
-                    if len(best[at][1]) == k:
-                        floor[at] = best[at][1][-1]
-        if best:
-            order = list(best)
-            query_ids = [block.ids[at] for at in order for _ in best[at][0]]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array(query_ids, block.id_type),
-                    "id": pa.array(np.concatenate([best[at][0] for at in order]), id_type),
-                    "score": pa.array(np.concatenate([best[at][1] for at in order])),
-                }
-            )
-
-    return items.select(*columns).mapInArrow(
-        run, f"query_id {query_kind}, id {id_kind}, score double"
-    )
-
-
-def _probe_table(leaves: list[list[int]]) -> np.ndarray:
-    """Query x leaf: whether the query searches the leaf. Both sides are bounded."""
-    table = np.zeros((len(leaves), MAX_LEAVES), dtype=bool)
-    for at, probes in enumerate(leaves):
-        table[at, probes] = True
-    return table
-
-
-def _blocks(queries: DataFrame, restricted: bool, rows: int) -> Iterator[_Block]:
-    """Query blocks of at most ``rows`` queries.
+    A block holds rows of one key and of one batch, at most ``size``.
+    """
+    kinds = dict(rows.dtypes)
+    lists = ", ".join(f"`{new}` array<{'double' if old == 'embedding' else kinds[old]}>" for old, new in names.items())
 
-    One block is fetched with a row limit. Only when the limit is exceeded are
-    the queries written once, in hash buckets, and read back bucket by bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch["key"].dictionary_encode()
+            order = np.argsort(codes.indices.to_numpy(), kind="stable")
+            sorted_codes = codes.indices.to_numpy()[order]
+            edges = np.flatnonzero(np.diff(sorted_codes)) + 1
+            starts = [
+                at for low, high in zip(np.r_[0, edges], np.r_[edges, len(order)], strict=True)
+                for at in range(low, high, size)] if len(order) else []
+            cuts = np.array([*starts, len(order)])
+            picked = batch.take(pa.array(order))
+            columns = []
+            for old in names:
+                column = picked[old]
+                if old == "embedding":
+                    whole = _matrix(column)
+                    values = pa.array(whole.ravel())
+                    ends = cuts * (whole.shape[1] if len(whole) else 0)
+                else:
+                    values, ends = column, cuts
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype("int32")), values))
+            first = pa.array(cuts[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [picked["key"].take(first), picked["copies"].take(first), *columns], names=["key", "copies", *names.values()])
+
+    return rows.select("key", "copies", *names).mapInArrow(run, f"key string, copies int, {lists}")
+
+
+def _meet(items: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """Exact top ``k`` of every query among the items that share one of its keys.
+
+    ``items``: key, copies, id, embedding, rating; ``queries``: key, copies,
+    query_id, embedding, least (the smallest rating, or null). ``copies`` is the
+    same in all rows of a key. An item must have at most one row per key of a query.
     """
-    queries = queries.filter(has_vector(F.col("embedding")))
-    table = queries.limit(rows + 1).toArrow()
-    if table.num_rows <= rows:
-        if table.num_rows:
-            yield _Block(table, restricted)
-        return
-    spark = queries.sparkSession
-    total = queries.count()
-    buckets = -(-2 * total // rows)
-    folder = shared_dir(spark, "queries")
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(buckets))
-    queries.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(folder)
-    stored = spark.read.parquet(folder)
-    for number in range(buckets):
-        part = stored.filter(F.col("_bucket") == number).drop("_bucket").toArrow()
-        # Query ids are distinct, so a bucket holds about half a block.
-        for start in range(0, part.num_rows, rows):
-            yield _Block(part.slice(start, rows), restricted)
-
-
-def _top(candidates: DataFrame, k: int, metric: str) -> DataFrame:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    id_kind, query_kind = dict(items.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    blocks = _packed(items, {"id": "ids", "embedding": "vectors", "rating": "ratings"}, ITEM_BLOCK)
+    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("copies")).cast("int"))
+    asked = _packed(queries, {"query_id": "query_ids", "embedding": "wanted", "least": "leasts"}, QUERY_BLOCK)
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    met = blocks.join(asked, ["key", "salt"]).select("ids", "vectors", "ratings", "query_ids", "wanted", "leasts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Score that an item must reach to enter the best k of a query, as far as this task has seen.
+        floors: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, vectors, ratings, query_ids, wanted, leasts = (batch.column(c)[row].values for c in range(6))
+                here = vectors.to_numpy().reshape(len(ids), -1)
+                there = wanted.to_numpy().reshape(len(query_ids), -1)
+                scores = _scores(here, there, metric)
+                least = leasts.to_numpy(zero_copy_only=False).astype("float64")
+                if not np.isnan(least).all():
+                    rating = ratings.to_numpy(zero_copy_only=False).astype("float64")
+                    scores[~((rating[:, None] >= least) | np.isnan(least))] = -np.inf
+                if len(floors) > REMEMBERED_BLOCKS:
+                    floors.clear()
+                block = tuple(query_ids[:2].to_pylist()), len(query_ids)
+                floor = floors.get(block, np.full(len(query_ids), -np.inf))
+                if len(ids) >= k:
+                    floor = np.maximum(floor, np.partition(scores, len(ids) - k, axis=0)[len(ids) - k])
+                    floors[block] = floor
+                at, of = np.nonzero((scores >= floor) & np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(of)), ids.take(pa.array(at)), pa.array(scores[at, of])],
+                    names=["query_id", "id", "score"])
+
+    candidates = met.mapInArrow(run, f"query_id {query_kind}, id {id_kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     ranked = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     value = -F.col("score") if metric == "euclidean" else F.col("score")
     return ranked.select("query_id", "id", value.alias("distance"), "rank")
 
 
-def _search(items: DataFrame, queries: DataFrame, k: int, metric: str, restricted: bool,
-            block_rows: int) -> DataFrame:
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric: {metric}")
-    usable = items.filter(has_vector(F.col("embedding")))
-    query_kind = dict(queries.dtypes)["query_id"]
-
-    def hits(block: _Block) -> DataFrame:
-        part = usable
-        if block.leaves is not None:
-            probed = sorted({leaf for leaves in block.leaves for leaf in leaves})
-            part = usable.filter(F.col("leaf").isin(probed))
-        return _top(_scan(part, block, k, metric, restricted, query_kind), k, metric)
-
-    blocks = _blocks(queries, restricted, block_rows)
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None:
-        schema = f"query_id {query_kind}, id {dict(items.dtypes)['id']}, score double"
-        return _top(items.sparkSession.createDataFrame([], schema), k, metric)
-    if second is None:
-        return hits(first)
-    # The hits of a block are final. Written one by one, they never hold more
-    # than a few blocks on the driver.
-    folder = shared_dir(items.sparkSession, "hits")
-    schema = hits(first).schema
-    for block in chain([first, second], blocks):
-        hits(block).write.mode("append").parquet(folder)
-    return items.sparkSession.read.schema(schema).parquet(folder)
-
-
-def knn(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS, metric: str = "dot",
-        block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _copies(df: DataFrame) -> Column:
+    return F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).cast("int")
+
+
+def _items(items: DataFrame, *more: Column) -> DataFrame:
+    rating = F.col("rating").cast("double") if "rating" in items.columns else F.lit(None).cast("double")
+    return items.filter(has_vector(F.col("embedding"))).select("id", "embedding", rating.alias("rating"), *more)
+
+
+def _queries(queries: DataFrame, restricted: bool, *more: Column) -> DataFrame:
+    """Queries with their restrict key and least rating, which admit all where nothing is restricted."""
+    asked = {c: F.col(c) for c in queries.columns}
+    return queries.filter(has_vector(F.col("embedding"))).select(
+        "query_id", "embedding",
+        (F.when(F.col("filter_rating"), F.col("rating").cast("double")) if restricted
+         else F.lit(None).cast("double")).alias("least"),
+        (restrict_key(asked) if restricted else F.lit("")).alias("key"), *more)
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS, metric: str = "dot") -> DataFrame:
     """Exact top k of every query: ``query_id, id, distance, rank``.
 
     ``distance`` is the similarity for ``dot`` and ``cosine`` (largest first)
-    and the distance for ``euclidean`` (smallest first).
+    and the distance for ``euclidean`` (smallest first). Scores are compared at
+    nine decimals, ties go to the smaller id. Rows without a vector are left out.
     """
-    return _search(items, queries.select("query_id", "embedding"), k, metric, False, block_rows)
+    here = _items(items, F.lit("").alias("key"), _copies(items).alias("copies"))
+    return _meet(here, _queries(queries, False, _copies(items).alias("copies")), k, metric)
 
 
 def knn_filtered(items: DataFrame, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS,
-                 metric: str = "dot", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 metric: str = "dot") -> DataFrame:
     """Exact top k among the items each query's restricts admit.
 
-    Queries carry continent, city, country, rating and the two filter flags.
+    Queries carry continent, city, country, rating and the two filter flags. An
+    item meets queries under the keys it is admitted by, as far as some query asks for them.
     """
-    needed = queries.select(
-        "query_id", "embedding", *RESTRICT_COLUMNS, "filter_rating", "filter_city_country"
-    )
-    return _search(items, needed, k, metric, True, block_rows)
+    asked = _queries(queries, True, _copies(items).alias("copies"))
+    here = _items(items, F.explode(admitted_keys({c: F.col(c) for c in items.columns})).alias("key"),
+                  _copies(items).alias("copies"))
+    return _meet(here.join(asked.select("key").distinct(), "key", "left_semi"), asked, k, metric)
 
 
-def ann_build(items: DataFrame, leaf_size: int = LEAF_SIZE, max_leaves: int = MAX_LEAVES,
-              seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """Assign every item to a leaf; returns the items with ``leaf`` and the leaf centres.
+class Index(NamedTuple):
+    """A stored tree index: items by cell and leaf, leaf centres, and what each leaf admits."""
 
-    Centres are trained on a bounded random part of the items; every item is
-    assigned. Above ``max_leaves`` leaves simply grow: a query still reads the
-    same share of the items. Store the result with ``ann_store`` before searching.
-    """
-    if max_leaves > MAX_LEAVES:
-        raise ValueError(f"at most {MAX_LEAVES} leaves")
-    usable = items.filter(has_vector(F.col("embedding")))
-    n = usable.count()
-    leaves = int(min(max_leaves, max(1, round(n / leaf_size))))
-    vectors = usable.select(array_to_vector("embedding").alias("features"))
-    share = TRAIN_ROWS_PER_LEAF * leaves / max(n, 1)
-    train = vectors.sample(share, seed) if share < 0.5 else vectors
-    model = KMeans(k=leaves, seed=seed, maxIter=10).fit(train)
-    assigned = (
-        model.transform(usable.withColumn("features", array_to_vector("embedding")))
-        .drop("features")
-        .withColumnRenamed("prediction", "leaf")
-    )
-    return assigned, np.asarray(model.clusterCenters())
+    items: DataFrame
+    leaves: DataFrame
+    admits: DataFrame
 
 
-def ann_store(index: DataFrame, folder: str) -> DataFrame:
-    """Write an index with one folder per leaf, so a search reads only its leaves.
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
-    Rebalancing gathers each leaf in few files and splits a leaf that is too
-    large for one task.
-    """
-    gathered = index.hint("rebalance", F.col("leaf"))
-    gathered.write.mode("overwrite").partitionBy("leaf").parquet(folder)
-    return index.sparkSession.read.schema(index.schema).parquet(folder)
-
-
-def ann_query(index: DataFrame, centres: np.ndarray, queries: DataFrame,
-              k: int = DEFAULT_NEIGHBOURS, share: float = LEAF_SHARE, min_leaves: int = 1,
-              metric: str = "dot", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate top k: only the leaves whose centres score best are searched."""
-    probes = min(len(centres), max(min_leaves, int(np.ceil(share * len(centres)))))
-
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        scores = _scores(centres, np.stack(vectors.to_numpy()).astype("float64"), metric)
-        return pd.Series(list(np.argsort(-scores, axis=0, kind="stable")[:probes].T.astype("int32")))
-
-    routed = queries.filter(has_vector(F.col("embedding"))).select(
-        "query_id", "embedding", nearest("embedding").alias("_leaves")
-    )
-    return _search(index, routed, k, metric, False, block_rows)
+
+def _spherical_centres(rows: np.ndarray, n: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of a k-means by cosine."""
+    rows = np.unique(_unit(rows), axis=0)
+    if len(rows) <= n:
+        return rows
+    centres = rows[np.random.default_rng(seed).choice(len(rows), n, replace=False)]
+    for _ in range(rounds):
+        near = np.argmax(rows @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, rows)
+        centres = np.where(np.bincount(near, minlength=n)[:, None] > 0, _unit(sums), centres)
+    return centres
 
 
+def ann_build(items: DataFrame, folder: str, leaf_size: int = LEAF_SIZE, seed: int = 7) -> Index:
+    """Builds and stores a two-level tree of about ``leaf_size`` items per leaf, however many items there are.
+
+    Cells are centres of a k-means on a bounded sample, about the root of the
+    number of leaves; each cell is cut into leaves by a k-means of its own in
+    its own task. Every item with a vector goes to the nearest cell and then to the nearest
+    leaf of that cell; a cell with many items is dealt to several tasks. Items lie
+    in one folder per cell, sorted by leaf. Items with restrict columns can be
+    searched with restricts: the index knows per leaf which restrict keys occur, and the largest rating of each.
+    """
+    spark = items.sparkSession
+    usable = items.filter(has_vector(F.col("embedding")))
+    n = usable.count()
+    cells = max(1, round((n / leaf_size) ** 0.5))
+    share = min(1.0, TRAIN_ROWS * cells / max(n, 1))
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    sample = usable.select(array_to_vector(unit).alias("features"))
+    sample = Normalizer(p=2.0, inputCol="features", outputCol="unit").transform(
+        sample.sample(share, seed) if share < 1 else sample)
+    roots = np.zeros((1, 1))
+    if n and cells > 1:
+        model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="unit").fit(sample)
+        roots = _unit(np.asarray(model.clusterCenters()))
+
+    @F.pandas_udf("int")
+    def cell_of(vectors: pd.Series) -> pd.Series:
+        if len(roots) == 1 or len(vectors) == 0:
+            return pd.Series(np.zeros(len(vectors), "int32"))
+        rows = np.stack(vectors.to_numpy()).astype("float64")
+        return pd.Series(np.argmax(rows @ roots.T, axis=1).astype("int32"))
+
+    placed = store(usable.withColumn("cell", cell_of("embedding")), f"{folder}/placed")
+    # A row per cell: its leaves, and the parts that its items are dealt to.
+    sizes = store(placed.groupBy("cell").count().select(
+        "cell", F.greatest(F.lit(1), F.least(F.lit(CELL_LEAVES), F.round(F.col("count") / leaf_size))).cast("int").alias("most"),
+        F.ceil(F.col("count") / ASSIGNED_ROWS).cast("int").alias("parts")), f"{folder}/cells")
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("id"))
+    train = placed.select("cell", "embedding", F.row_number().over(order).alias("at")).join(sizes, "cell").where(
+        F.col("at") <= F.col("most") * TRAIN_ROWS).select("cell", "most", "embedding")
+
+    def centres_of(part: pa.Table) -> pa.Table:
+        cell, most = part["cell"][0].as_py(), part["most"][0].as_py()
+        centres = _spherical_centres(_matrix(part["embedding"]), most, seed)
+        return pa.table({
+            "cell": pa.array([cell] * len(centres), pa.int32()),
+            "leaf": pa.array(cell * CELL_LEAVES + np.arange(len(centres)), pa.int64()), "centre": list(centres)})
+
+    centres = store(train.groupBy("cell").applyInArrow(
+        centres_of, "cell int, leaf long, centre array<double>"), f"{folder}/centres")
+    dealt = placed.join(sizes.select("cell", "parts"), "cell").withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    copied = centres.join(sizes.select("cell", "parts"), "cell").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = [c for c in dealt.columns if c != "part"]
+
+    def leaf_of(rows: pa.Table, near: pa.Table) -> pa.Table:
+        if rows.num_rows == 0:
+            return rows.select(names).append_column("leaf", pa.array([], pa.int64()))
+        leaves, best = near["leaf"].to_numpy(), []
+        for start in range(0, rows.num_rows, ITEM_BLOCK):
+            vectors = _matrix(rows["embedding"].slice(start, ITEM_BLOCK))
+            best.append(leaves[np.argmax(vectors @ _matrix(near["centre"]).T, axis=1)])
+        return rows.select(names).append_column("leaf", pa.array(np.concatenate(best), pa.int64()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != "part")
+    assigned = dealt.groupBy("cell", "part").cogroup(copied.groupBy("cell", "part")).applyInArrow(
+        leaf_of, f"{fields}, leaf long")
+    # Keeps the columns of an index without items.
+    store(spark.createDataFrame([], assigned.schema), f"{folder}/columns")
+    assigned.sortWithinPartitions("cell", "leaf").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/items")
+    return ann_open(spark, folder, summarise=True)
+
+
+def ann_open(spark: SparkSession, folder: str, summarise: bool = False) -> Index:
+    """A stored index; ``summarise`` makes its leaf tables anew from the stored items."""
+    columns = spark.read.parquet(f"{folder}/columns").schema
+    items = spark.read.schema(columns).parquet(f"{folder}/items")
+    if summarise:
+        counts = items.groupBy("leaf").agg(F.count("*").alias("n"))
+        centres = spark.read.parquet(f"{folder}/centres").join(counts, "leaf")
+        store(centres.select("leaf", "centre", "n"), f"{folder}/leaves")
+        if set(RESTRICT_COLUMNS) <= set(items.columns):
+            keys = items.select(
+                "leaf", "rating", F.explode(admitted_keys({c: F.col(c) for c in RESTRICT_COLUMNS})).alias("key"))
+            keys = keys.groupBy("leaf", "key").agg(F.max("rating").alias("rating"))
+        else:
+            keys = counts.select("leaf", F.lit("").alias("key"), F.lit(None).cast("double").alias("rating"))
+        store(keys, f"{folder}/admits")
+    return Index(items, spark.read.parquet(f"{folder}/leaves"), spark.read.parquet(f"{folder}/admits"))
+
+
+def ann_query(index: Index, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS, share: float = LEAF_SHARE,
+              min_leaves: int = 1, metric: str = "dot", restricted: bool = False) -> DataFrame:
+    """Approximate top k: only the ``share`` of leaves whose centres score best are searched.
+
+    With restricts, the leaves of a query are chosen among those that hold an
+    item of its restrict key with a sufficient rating; other leaves are not read.
+    Probing all leaves gives the exact result. Routing is a search among the
+    leaf centres, so it takes any number of queries and leaves.
+    """
+    probes = max(min_leaves, int(np.ceil(share * index.leaves.count())), 1)
+    centres = index.leaves.select(F.col("leaf").alias("id"), F.col("centre").alias("embedding"), "n")
+    asked = store(_queries(queries, restricted), shared_dir(queries.sparkSession, "asked"))
+    spread = _copies(queries)
+    if restricted:
+        admitted = index.admits.join(asked.select("key").distinct(), "key", "left_semi")
+        targets = admitted.join(centres.drop("n"), admitted["leaf"] == centres["id"]).select(
+            "id", "embedding", "rating", "key", spread.alias("copies"))
+    else:
+        targets = _items(centres.drop("n"), F.lit("").alias("key"), spread.alias("copies"))
+    # Centres have length one: for cosine and distance the direction decides, too.
+    routes = _meet(targets, asked.withColumn("copies", spread), probes, "dot" if metric == "dot" else "cosine")
+    sized = index.leaves.select("leaf", F.ceil(F.col("n") / (4 * ITEM_BLOCK)).cast("int").alias("copies"))
+    routes = store(routes.select("query_id", F.col("id").alias("leaf")).join(sized, "leaf"),
+                   shared_dir(queries.sparkSession, "routes"))
+    inside = F.concat_ws("|", F.col("leaf").cast("string"), "key")
+    routed = asked.join(routes, "query_id").withColumn("key", inside).drop("leaf").repartition("key")
+    admits = admitted_keys({c: F.col(c) for c in RESTRICT_COLUMNS}) if restricted else F.array(F.lit(""))
+    read = index.items.join(routes.select("leaf", "copies").distinct(), "leaf")
+    here = _items(read, F.explode(admits).alias("key"), "leaf", "copies").withColumn("key", inside).drop("leaf")
+    if restricted:
+        here = here.join(routed.select("key").distinct(), "key", "left_semi")
+    return _meet(here, routed, k, metric)

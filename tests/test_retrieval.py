@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from staylens.functions.vectors import hashing_embedder
 from staylens.operators import retrieval, vectors
 from staylens.operators.registry import Registry, complete_with, default_registries
+from staylens.session import shared_dir
 
 RNG = np.random.default_rng(3)
 ITEMS = RNG.normal(size=(300, 8)).round(2)
@@ -55,22 +56,26 @@ def brute(metric, k, admits=lambda q, i: True):
 
 
 @pytest.mark.parametrize("metric", vectors.METRICS)
-@pytest.mark.parametrize("block_rows", [4096, 2])
-def test_knn_equals_brute_force(rows, items, queries, metric, block_rows):
-    got = vectors.knn(items, queries, 12, metric, block_rows=block_rows)
+@pytest.mark.parametrize("item_block, query_block", [(2048, 512), (7, 2)])
+def test_knn_equals_brute_force(rows, items, queries, monkeypatch, metric, item_block, query_block):
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", item_block)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", query_block)
+    monkeypatch.setattr(vectors, "REMEMBERED_BLOCKS", 1)
+    got = vectors.knn(items, queries, 12, metric)
     assert rows(got, "query_id", "id", "rank") == brute(metric, 12)
 
 
-def test_knn_filtered(rows, items, queries):
-    def admits(q, i):
-        city, country, continent = PLACES[i % 3]
-        rating = None if i % 11 == 0 else i % 5
-        return (
-            (q % 2 == 0 or continent == "Europe")
-            and (q % 4 != 3 or (city, country) == ("Oslo", "Norway"))
-            and (q % 3 == 0 or (rating is not None and rating >= q % 3))
-        )
+def admits(q, i):
+    city, country, continent = PLACES[i % 3]
+    rating = None if i % 11 == 0 else i % 5
+    return (
+        (q % 2 == 0 or continent == "Europe")
+        and (q % 4 != 3 or (city, country) == ("Oslo", "Norway"))
+        and (q % 3 == 0 or (rating is not None and rating >= q % 3))
+    )
 
+
+def test_knn_filtered(rows, items, queries):
     got = vectors.knn_filtered(items, queries, 9)
     assert rows(got, "query_id", "id", "rank") == brute("dot", 9, admits)
 
@@ -96,15 +101,42 @@ def test_ann_recall(spark, rows):
     data = [(i, (centres[i % 20] + rng.normal(size=16) * 0.15).tolist()) for i in range(2000)]
     items = spark.createDataFrame(data, "id long, embedding array<double>").repartition(4)
     queries = items.filter("id < 40").withColumnRenamed("id", "query_id")
-    index, leaf_centres = vectors.ann_build(items, leaf_size=100)
-    assert index.count() == 2000 and len(leaf_centres) == 20
+    index = vectors.ann_build(items, shared_dir(spark, "tree"), leaf_size=100)
+    assert index.items.count() == 2000 and 15 <= index.leaves.count() <= 25
+    assert rows(index.items, "id") == rows(items, "id")
     exact = set(rows(vectors.knn(items, queries, 10), "query_id", "id"))
-    near = set(rows(vectors.ann_query(index, leaf_centres, queries, 10, share=0.15), "query_id", "id"))
+    near = set(rows(vectors.ann_query(index, queries, 10, share=0.25), "query_id", "id"))
     assert len(exact & near) / len(exact) >= 0.9
-    everything = vectors.ann_query(index, leaf_centres, queries, 10, share=1.0)
+    everything = vectors.ann_query(index, queries, 10, share=1.0)
     assert set(rows(everything, "query_id", "id")) == exact
 
 
+def test_ann_restricts(spark, rows, items, queries, monkeypatch):
+    monkeypatch.setattr(vectors, "ASSIGNED_ROWS", 40)
+    folder = shared_dir(spark, "tree")
+    vectors.ann_build(items, folder, leaf_size=20)
+    index = vectors.ann_open(spark, folder)
+    got = vectors.ann_query(index, queries, 9, share=1.0, restricted=True)
+    assert rows(got, "query_id", "id", "rank") == brute("dot", 9, admits)
+    # A leaf is only searched where it holds an item that is admitted.
+    few = vectors.ann_query(index, queries, 9, share=0.1, restricted=True)
+    found = rows(few, "query_id", "id")
+    assert found and all(admits(q, i) for q, i in found)
+    assert {q for q, _ in found} == {q for q, *_ in brute("dot", 9, admits)}
+
+
+def test_ann_of_equal_vectors_and_of_nothing(spark, rows):
+    data = [(i, [1.0, 0.0] if i % 3 else [float(i), 1.0]) for i in range(300)] + [(999, [0.0, 0.0])]
+    items = spark.createDataFrame(data, "id long, embedding array<double>")
+    queries = items.filter("id < 5").withColumnRenamed("id", "query_id")
+    index = vectors.ann_build(items, shared_dir(spark, "tree"), leaf_size=10)
+    assert index.items.count() == 301
+    exact = vectors.knn(items, queries, 4)
+    assert rows(vectors.ann_query(index, queries, 4, share=1.0)) == rows(exact)
+    nothing = vectors.ann_build(items.limit(0), shared_dir(spark, "tree"))
+    assert vectors.ann_query(nothing, queries, 4).count() == 0
+
+
 @pytest.mark.parametrize("n, sizes", [(0, []), (1, [1]), (641, [641]), (642, [642]), (643, [642, 1]), (1284, [642, 642])])
 def test_chunk_sizes(spark, n, sizes):
     df = spark.createDataFrame([(1, " \n".join(f"w{i}" for i in range(n)))], "id int, review_text string")
