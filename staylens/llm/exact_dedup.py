@@ -81,23 +81,24 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of ``df`` that stay, all columns unchanged.
 
     Texts of ids that occur once are only filtered; where an id occurs in
-    several rows, those rows are matched by their text as well.
+    several rows, those rows are matched by their text as well, and of rows with equal
+    id and text one stays. A null text counts as empty; an empty table gives an
+    empty result; columns may have any names.
     """
     found = written(_settled(df, id_col, text_col, {}), "exact-kept")
     per_id = found.groupBy("id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
-    touched = per_id.where("n_kept < n").select(F.col("id").alias("_gone"))
-    kept = df.join(touched, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    mixed = per_id.where("n_kept < n and n_kept > 0").select("id")
-    staying = (
-        found.where("kept").join(mixed.withColumnRenamed("id", "_mixed"), F.col("id").eqNullSafe(F.col("_mixed")))
-        .select(*[F.col(c).alias(f"_{c}") for c in ("id", "size", "prefix", "digest")])
-    )
+    touched = per_id.where("n_kept < n").select(F.col("id").alias("gone"))
     text = text_or_empty(text_col)
-    again = df.join(
+    # The given columns travel as one, so that no name can clash.
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), text.alias("body"))
+    kept = rows.join(touched, F.col("own").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    mixed = per_id.where("n_kept < n and n_kept > 0").select(F.col("id").alias("mixed"))
+    staying = found.where("kept").join(mixed, F.col("id").eqNullSafe(F.col("mixed"))).select("id", "size", "prefix", "digest")
+    again = rows.join(
         staying,
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.octet_length(text) == F.col("_size"))
-        & (F.xxhash64(F.substring(text, 1, PREFIX_CHARS)) == F.col("_prefix"))
-        & (F.col("_digest").isNull() | (F.sha2(text, 256) == F.col("_digest"))),
+        F.col("own").eqNullSafe(F.col("id")) & (F.octet_length("body") == F.col("size"))
+        & (F.xxhash64(F.substring("body", 1, PREFIX_CHARS)) == F.col("prefix"))
+        & (F.col("digest").isNull() | (F.sha2("body", 256) == F.col("digest"))),
         "left_semi",
     )
-    return kept.unionByName(again.dropDuplicates([id_col, text_col]))
+    return kept.unionByName(again.dropDuplicates(["own", "body"]).select("row.*"))

@@ -31,8 +31,10 @@ from staylens.llm.common import bitmap, components, marked, text_or_empty, writt
 GROUPS = 64
 #: Words a task remembers; only memory and speed depend on it.
 CACHED_WORDS = 400_000
-#: Points of one R-tree; keys with more documents are cut into pairs of blocks.
-BLOCK = 1024
+#: Points of one R-tree; clusters with more documents are cut into pairs of blocks.
+BLOCK = 512
+#: Keys a task holds before it passes their places on.
+HELD_KEYS = 2_000_000
 #: Size of the filter for keys that occur once: 8 MiB, whatever the input. Bits
 #: shared by chance only let more keys through to the exact count.
 KEY_BITS = 1 << 26
@@ -132,85 +134,115 @@ def _point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
-def _keyed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """id, n, fingerprint of the set (128 bits), keys."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _number(hashes: np.ndarray) -> np.uint64:
+    """A 64-bit number for a set."""
+    f1, f2 = mix(hashes).sum(dtype=np.uint64), mix(hashes ^ M1).sum(dtype=np.uint64)
+    return mix(mix(np.array([f1]) + np.uint64(len(hashes))) ^ f2)[0]
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bands = WordHashes(), Bands(num, den)
-        for frame in frames:
-            for start in range(0, frame.num_rows, 2048):
-                part = frame.slice(start, 2048)
-                n, a, b, keys, lengths = [], [], [], [np.empty(0, np.uint64)], [0]
-                for text in part.column(1):
-                    s = shingles(text.as_py(), size, known)
-                    own = chunk_keys(s, bands)
-                    n.append(len(s))
-                    a.append(mix(s).sum(dtype=np.uint64))
-                    b.append(mix(s ^ M1).sum(dtype=np.uint64))
-                    keys.extend(own)
-                    lengths.append(sum(map(len, own)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
-                     pa.array(np.array(b, np.uint64).view(np.int64)),
-                     pa.ListArray.from_arrays(
-                         pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))],
-                    names=["id", "n", "f1", "f2", "keys"],
-                )
-
-    return docs.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, keys array<long>")
-
-
-def _keys_among(keyed: DataFrame, bitmap_of_keys) -> DataFrame:
-    """(id, key) of the keys whose bit is set."""
-    kind = keyed.schema["id"].dataType.simpleString()
+
+def _digested(docs: DataFrame, size: int) -> DataFrame:
+    """id, n, number of the set."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap_of_keys.value, np.uint8)
+        known = WordHashes()
         for frame in frames:
-            column = frame.column(1)
-            keys = column.flatten().to_numpy(zero_copy_only=False)
-            at = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
-            bit = keys & (KEY_BITS - 1)
-            on = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+            sets = [shingles(text.as_py(), size, known) for text in frame.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [frame.column(0).take(pa.array(at[on])), pa.array(keys[on])], names=["id", "key"])
+                [frame.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64))], names=["id", "n", "set"])
+
+    return docs.select("id", "body").mapInArrow(run, "id long, n long, set long")
+
+
+def repeated_keys(docs: DataFrame, size: int, num: int, den: int) -> bytes:
+    """Bitmap of fixed size in which the bits of all keys with several rows are set.
+
+    A task passes on two bytes per key, ordered by the slice of the bitmap they belong to; the tasks that
+    merge them count each bit up to two, 64 KiB a slice, whatever the input.
+    """
 
-    return keyed.select("id", "keys").mapInArrow(run, f"id {kind}, key long")
+    def places(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bands, held, waiting = WordHashes(), Bands(num, den), [], 0
 
+        def flushed() -> pa.RecordBatch:
+            bit = np.sort(np.concatenate([np.empty(0, np.int64), *held]))
+            slices, starts = np.unique(bit >> 16, return_index=True)
+            lows = [x.astype("<u2").tobytes() for x in np.split(bit & 0xFFFF, starts[1:])] if len(slices) else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slices, pa.int64()), pa.array(lows, pa.binary())], names=["slice", "lows"])
 
-def repeated_keys(rows: DataFrame) -> bytes:
-    """Bitmap of fixed size in which the bits of all keys with several rows are set."""
-    several = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    number = F.col("key").bitwiseAND(F.lit(KEY_BITS - 1)) + 1
-    slices = several.groupBy(F.bitmap_bucket_number(number).alias("slice")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+        for frame in frames:
+            for text in frame.column(0):
+                for keys in chunk_keys(shingles(text.as_py(), size, known), bands):
+                    held.append((keys & np.uint64(KEY_BITS - 1)).astype(np.int64))
+                    waiting += len(keys)
+                if waiting > HELD_KEYS:
+                    yield flushed()
+                    held, waiting = [], 0
+        yield flushed()
+
+    def merged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for at, lows in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                seen = counts.setdefault(at, np.zeros(1 << 16, np.uint8))
+                here = np.bincount(np.frombuffer(lows, "<u2"), minlength=1 << 16)
+                np.minimum(seen + np.minimum(here, 2), 2, out=seen, casting="unsafe")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.int64()),
+             pa.array([np.packbits(c > 1, bitorder="little").tobytes() for c in counts.values()], pa.binary())],
+            names=["slice", "bits"])
+
+    slices = (
+        docs.select("body").mapInArrow(places, "slice long, lows binary")
+        .repartition("slice").mapInArrow(merged, "slice long, bits binary"))
     out = bytearray(KEY_BITS // 8)
-    # At most KEY_BITS / 32768 rows of 4 KiB.
+    # At most KEY_BITS / 65536 rows of 8 KiB.
     for row in slices.collect():
-        at = (row["slice"] - 1) * 4096
-        out[at: at + 4096] = row["bits"]
+        out[row["slice"] * 8192: (row["slice"] + 1) * 8192] = row["bits"]
     return bytes(out)
 
 
+def _keys_among(docs: DataFrame, size: int, num: int, den: int, bitmap_of_keys) -> DataFrame:
+    """(id, set, key) of the keys whose bit is set, made anew from the text."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known, bands = np.frombuffer(bitmap_of_keys.value, np.uint8), WordHashes(), Bands(num, den)
+        for frame in frames:
+            at, found, numbers = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for i, text in enumerate(frame.column(1)):
+                own = shingles(text.as_py(), size, known)
+                for keys in chunk_keys(own, bands):
+                    bit = (keys & np.uint64(KEY_BITS - 1)).astype(np.int64)
+                    keys = keys[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
+                    found.append(keys)
+                    at.append(np.full(len(keys), i))
+                    if len(keys):
+                        numbers.append(np.full(len(keys), _number(own)))
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(numbers).view(np.int64)),
+                 pa.array(np.concatenate(found).view(np.int64))], names=["id", "set", "key"])
+
+    return docs.select("id", "body").mapInArrow(run, "id long, set long, key long")
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, n, point and hashes."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """doc, id (number of the set), n, point and hashes."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for frame in frames:
-            for start in range(0, frame.num_rows, 1024):
-                part = frame.slice(start, 1024)
-                sets = [shingles(t.as_py(), size, known) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_point(s) for s in sets], pa.list_(pa.int32())),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["id", "n", "point", "hashes"],
-                )
+            sets = [shingles(t.as_py(), size, known) for t in frame.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0), pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64)),
+                 pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_point(s) for s in sets], pa.list_(pa.int32())),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["doc", "id", "n", "point", "hashes"],
+            )
 
-    return docs.mapInArrow(run, f"id {kind}, n long, point array<int>, hashes array<long>")
+    return docs.select("id", "body").mapInArrow(
+        run, "doc long, id long, n long, point array<int>, hashes array<long>")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -284,41 +316,53 @@ class CountTree:
         return at[np.minimum(found, point).sum(1) * (num + den) >= num * (n + found.sum(1))]
 
 
-def _tree_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components under one key whose points reach the bound.
+def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components of a cluster, verified where they are found.
 
-    ``rows``: key, id, comp, point. Keys of many documents are cut into blocks
-    by hash; each pair of blocks is searched on its own.
+    ``rows``: cluster, id, comp, point, hashes, one row per set. Large clusters are
+    cut into blocks by hash, and each pair of blocks is searched on its own. Pairs
+    that earlier links already connect are skipped, so that a pair of blocks
+    gives fewer links than it has rows.
     """
-    sizes = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("cluster").count().select(
+        "cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     blocked = (
-        rows.join(sizes, "key")
+        rows.join(sizes, "cluster")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     )
-    kind = rows.schema["id"].dataType.simpleString()
 
     def search(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         ids, comp, block = (part.column(c).to_numpy() for c in ("id", "comp", "block"))
         points = np.array(part.column("point").combine_chunks().values.to_numpy()).reshape(len(ids), -1)
+        hashes = part.column("hashes").chunk(0)
         low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
         rows, others = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        found = [np.empty((0, 2), ids.dtype)]
+        _, label = np.unique(comp, return_inverse=True)
+        found = []
         if len(rows) and len(others):
             tree = CountTree(points[others])
             for i in rows.tolist():
                 near = others[tree.reaching(points[i], num, den)]
-                near = near[comp[near] != comp[i]]
                 if low == high:
                     near = near[near > i]
-                found.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
-        both = np.concatenate(found)
-        return pa.table({"a": both.min(1), "b": both.max(1)})
-
-    pairs = blocked.groupBy("key", "low", "high").applyInArrow(search, f"a {kind}, b {kind}")
-    return pairs.distinct()
+                own = None
+                near = near[label[near] != label[i]]
+                while len(near):
+                    j, near = int(near[0]), near[1:]
+                    own = hashes[i].values.to_numpy() if own is None else own
+                    that = hashes[j].values.to_numpy()
+                    shared = len(own) + len(that) - len(np.unique(np.concatenate([own, that])))
+                    if shared * (num + den) >= num * (len(own) + len(that)):
+                        found.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+                        near = near[label[near] != label[i]]
+        return pa.table({
+            "a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return blocked.groupBy("cluster", "low", "high").applyInArrow(search, "a long, b long")
 
 
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -342,8 +386,41 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         open_ = written(placed.join(several.select("key"), "key", "left_semi"), "jaccard-open")
         if open_.isEmpty():
             return found
-    points = open_.join(sets.select("id", "point"), "id")
-    return found.union(_verified(_tree_pairs(points, num, den), sets, num, den))
+    # Sets that share open keys, directly or not, are one cluster, so that each set travels once.
+    firsts = open_.groupBy("key").agg(F.min("id").alias("first"))
+    clusters = components(open_.join(firsts, "key").select("first", "id"), "first", "id", "jaccard-clusters")
+    clustered = clusters.select("id", F.col("component_id").alias("cluster")).join(
+        open_.select("id", "comp").distinct(), "id").join(sets.select("id", "point", "hashes"), "id")
+    return found.union(_tree_links(clustered, num, den))
+
+
+def _placed(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """id, n, set and component_id of each row of (id, body)."""
+    keyed = written(_digested(docs, shingle), "shingle-sets")
+    linkable = F.col("id").isNotNull() & (F.col("n") > 0)
+    same = written(keyed.where(linkable).groupBy("set").agg(F.min("id").alias("rep")), "shingle-same")
+    # Of copies one is compared. A set goes by its own number, since an id may have several texts.
+    copies = keyed.where(linkable).join(same, "set").where("id <> rep").select("set", "id").distinct()
+    named = docs.where("id is not null")
+    several = docs.sparkSession.sparkContext.broadcast(repeated_keys(named, shingle, num, den))
+    rows = _keys_among(named, shingle, num, den, several).join(copies, ["set", "id"], "left_anti")
+    rows = written(rows.select(F.col("set").alias("id"), "key").distinct(), "repeated-keys")
+    members = written(shared_keys(rows), "shared-keys")
+    involved = written(
+        members.select(F.col("id").alias("set")).distinct().join(same, "set").select("set", "rep"), "shared-sets")
+    some = marked(named, bitmap(involved, "rep"), "id").where("is_set").select("id", "body")
+    sets = marked(_sets(some, shingle), bitmap(involved, "set", "rep"), "id", "doc").where("is_set")
+    sets = written(sets.drop("is_set", "doc"), "shingle-hashes")
+    # The bitmaps let some copies through; of these sets, one row stays.
+    often = written(sets.groupBy("id").count().where("count > 1").select("id"), "shingle-often")
+    sets = sets.join(often, "id", "left_anti").union(sets.join(often, "id", "left_semi").dropDuplicates(["id"]))
+    comps = components(_links(members, sets, num, den), "a", "b", "jaccard-result")
+    linked = same.join(comps, F.col("set") == F.col("id"), "left").select(
+        "set", "rep", F.coalesce("component_id", "set").alias("comp"))
+    smallest = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    settled = linked.join(smallest, "comp").select("set", "component_id")
+    return keyed.where(linkable).join(settled, "set").select("id", "n", "set", "component_id").union(
+        keyed.where(~linkable).select("id", "n", "set", F.col("id").alias("component_id")))
 
 
 def jaccard_components(
@@ -354,41 +431,40 @@ def jaccard_components(
     Two rows link when the sets of their word shingles have a Jaccard similarity
     of at least ``num / den``. A null or empty text, or one of white space, has
     no shingles and links with nothing. Texts of equal sets (also repeated rows)
-    are one member of the join. Ids must be integers; a row with a null id has
+    are one member of the join; each text of a repeated id is a member of its own. Ids must be integers; a row with a null id has
     no links and no component. An empty table gives an empty result; other
-    columns are ignored. Hashes of 64 bits stand for shingles.
+    columns are ignored. Hashes of 64 bits stand for shingles and sets.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"))
-    keyed = written(_keyed(docs, shingle, num, den), "shingle-keys")
-    linkable = F.col("id").isNotNull() & (F.col("n") > 0)
-    same = written(
-        keyed.where(linkable).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "shingle-sets")
-    # Of copies one is compared.
-    copies = (
-        keyed.where(linkable).select("id", "n", "f1", "f2").join(same, ["n", "f1", "f2"])
-        .where("id <> rep").select("id").distinct()
-    )
-    single = keyed.where(linkable & (F.size("keys") > 0))
-    several = df.sparkSession.sparkContext.broadcast(
-        repeated_keys(single.select(F.explode("keys").alias("key"))))
-    rows = _keys_among(single, several).join(copies, "id", "left_anti")
-    rows = written(rows.distinct(), "repeated-keys")
-    members = written(shared_keys(rows), "shared-keys")
-    involved = members.select("id").distinct()
-    some = marked(docs, bitmap(involved, "id"), "id").where("is_set").select("id", "body")
-    sets = written(
-        _sets(some, shingle).join(involved, "id", "left_semi").dropDuplicates(["id"]), "shingle-hashes")
-    comps = components(_links(members, sets, num, den), "a", "b", "jaccard-result")
-    settled = same.join(comps, F.col("rep") == F.col("id"), "left").select(
-        "n", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
-    out = keyed.where(linkable).select("id", "n", "f1", "f2").join(settled, ["n", "f1", "f2"]).select(
-        "id", "n", "component_id"
-    ).union(keyed.where(~linkable).select("id", "n", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; rows of one id stay or go together."""
-    found = written(jaccard_components(df, id_col=id_col, text_col=text_col, **options), "jaccard-kept")
-    gone = found.where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return _placed(docs, shingle, num, den).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(
+    df: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component, all columns unchanged.
+
+    Of a repeated id, each text is judged on its own; rows without an id or
+    without words stay; an empty table gives an empty result.
+    """
+    # The given columns travel as one, so that no name can clash.
+    rows = df.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"))
+    found = written(_placed(rows.select("id", "body"), shingle, num, den), "jaccard-kept")
+    per_id = found.where("id is not null").groupBy("id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("id") != F.col("component_id")).alias("n_gone"))
+    gone = written(per_id.where("n_gone > 0").select("id", (F.col("n_gone") < F.col("n")).alias("mixed")), "jaccard-gone")
+    kept = rows.join(gone, "id", "left_anti").select("row.*")
+    mixed = gone.where("mixed")
+    if mixed.isEmpty():
+        return kept
+    # Ids of which some texts go: their rows are matched by text.
+    some = written(rows.join(mixed, "id", "left_semi"), "jaccard-mixed")
+    texts = written(
+        some.select("id", "body").distinct().withColumn("number", F.monotonically_increasing_id()), "jaccard-texts")
+    numbered = _digested(texts.select(F.col("number").alias("id"), "body"), shingle).select(
+        F.col("id").alias("number"), "set")
+    leaving = texts.join(numbered, "number").join(
+        found.where("id <> component_id").select("id", "set").distinct(), ["id", "set"]).select("id", "body")
+    return kept.unionByName(some.join(leaving, ["id", "body"], "left_anti").select("row.*"))

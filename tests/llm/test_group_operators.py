@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from staylens.llm import embed_dedup, exact_dedup, jaccard_join, quality, toxicity
 from staylens.llm.common import components
@@ -31,6 +32,13 @@ def test_drop_copies_of_repeated_ids(spark):
     assert sorted(map(tuple, kept), key=repr) == sorted([(2, "a"), (4, ""), (5, "b"), (2, "c"), (None, "z")], key=repr)
 
 
+def test_drop_copies_takes_null_as_empty_and_any_name(spark):
+    df = spark.createDataFrame([(2, None), (2, ""), (3, "x")], "doc_id long, text string").withColumns(
+        {c: F.lit(c) for c in ("_gone", "gone", "id", "size", "own", "row", "body")})
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def reachable(nodes, links):
     parent = {n: n for n in nodes}
 
@@ -339,3 +347,30 @@ def test_digests_match_their_texts(docs):
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert hashlib.sha256(b"").hexdigest() and zlib.crc32(b"5") % 4 in range(4)
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_jaccard_of_an_id_with_two_texts(spark):
+    words = [f"w{i}" for i in range(62)]
+    a, b, near = " ".join(words[::-1]), " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(1, a), (5, a), (5, b), (9, near), (None, b), (7, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit("x")).withColumn("set", F.lit(1))
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert found == {(1, 58, 1), (5, 58, 1), (5, 58, 5), (9, 58, 5), (None, 58, None), (7, 0, 7)}
+    kept = [tuple(r) for r in jaccard_join.keep_one(df).select("doc_id", "text").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (5, b), (None, b), (7, ""), (7, None)], key=repr)
+
+
+def test_jaccard_of_a_cluster_in_blocks(spark, monkeypatch):
+    """Variants of one text that link through others: cut into blocks and without pivots, nothing is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 1)
+    rnd, base = random.Random(2), [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            words[rnd.randrange(120)] = f"x{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute_jaccard(texts, 5, 4, 5)
