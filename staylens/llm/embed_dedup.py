@@ -3,9 +3,10 @@
 Directions are clustered on a bounded sample. Every vector has the cell of its
 nearest centre as its home, and visits each cell whose centre is at most
 ``margin`` degrees farther. Inside a cell, home vectors are compared with home
-vectors and visitors by blocked matrix products. With ``margin`` at twice the
-angle of the threshold no link can be missed; near the default, a link is missed
-only if both vectors lie unusually far across a border.
+vectors and visitors by blocked matrix products. By the triangle inequality the
+two detours of a linked pair add up to at most twice the threshold's angle, so with
+that angle as ``margin``, the default, one of them visits the other's cell and no
+link is missed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from staylens.llm.common import components, written
 
 THRESHOLD = 0.98
-MARGIN = 8.0
+#: Degrees added to the threshold's angle for rounding.
+ROUNDING = 0.01
 #: Vectors the centres are fitted on, at most; and bytes of them.
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 64_000_000
@@ -177,7 +179,7 @@ def compare(placed: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_dedup(
-    df: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN,
+    df: DataFrame, threshold: float = THRESHOLD, margin: float | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
@@ -195,6 +197,8 @@ def near_dedup(
     # One row per vector length.
     sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
     centres = {dim: fit_centres(reps, dim, n) for dim, n in sizes.items()}
+    if margin is None:
+        margin = math.degrees(math.acos(threshold)) + ROUNDING
     found = written(compare(cells(reps, centres, margin), threshold), "vector-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found, "rep", "root", "vector-components")

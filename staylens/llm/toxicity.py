@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from staylens.llm.common import text_or_empty
@@ -378,10 +379,10 @@ def score(
     empty table gives an empty result. No shuffle.
     """
     kinds = [(c, df.schema[c].dataType.simpleString()) for c in (id_col, *carry)]
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(net))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = cloudpickle.loads(shared.value)
         index: dict[bytes, int] = {}
         index[b"0"] = 0
         projected = np.empty((2, CACHED_WORDS, 3 * HIDDEN), np.float32)
