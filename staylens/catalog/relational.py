@@ -528,6 +528,16 @@ def _(t: Tables):
     return windows.rank_hits(hits)
 
 
+@query("w5_rank_nearest", """
+    select user_id as query_id, event_id as id, value as distance,
+        cast(row_number() over (partition by user_id order by value desc, event_id) as int) as rank
+    from {events}
+    qualify row_number() over (partition by user_id order by value desc, event_id) <= 10""")
+def _(t: Tables):
+    hits = t.events.selectExpr("user_id as query_id", "event_id as id", "value as distance")
+    return windows.rank_hits(hits, 10)
+
+
 # --- sorts and limits -------------------------------------------------------
 
 

@@ -56,8 +56,9 @@ def city_hotel_counts(cities: DataFrame, reviews: DataFrame, hotels: DataFrame)
     stock = hotels.select(
         "source_hotel_id", F.col("city").alias("_city"), F.col("country").alias("_country"),
         norm_key(F.col("city")).alias("_key"),
-    ).join(seen, "source_hotel_id", "left")
-    listed = cities.select("city", "country", "continent", norm_key(F.col("city")).alias("_key"))
+    ).distinct().join(seen, "source_hotel_id", "left")
+    # Hotels and cities are made distinct before they meet, so repeated rows do not multiply.
+    listed = cities.select("city", "country", "continent", norm_key(F.col("city")).alias("_key")).distinct()
     # Cities with hotels go through an inner join, whose hot cities can be split
     # on either side; the others are added by an anti join on the city keys.
     matched = stock.join(listed, "_key")
