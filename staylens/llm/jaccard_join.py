@@ -12,14 +12,16 @@ chunk's content is the key under which documents meet. Documents under one key
 are first compared with one pivot; where that leaves several components, an
 R-tree over the points of the key's documents finds the other pairs whose summed
 minima reach the bound. (Rectangles alone cannot prune here: single coordinates of
-unrelated texts of like length differ less than the threshold allows.)
+unrelated texts of like length differ less than the threshold allows.) Pairs that
+the tree leaves are bounded once more by fine points, whose groups grow in number with
+the set, before the sets themselves are made anew from the texts and compared.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,16 @@ from staylens.llm.common import bitmap, components, marked, text_or_empty, writt
 GROUPS = 64
 #: Words a task remembers; only memory and speed depend on it.
 CACHED_WORDS = 400_000
-#: Points of one R-tree; clusters with more documents are cut into pairs of blocks.
-BLOCK = 512
+#: Points of one R-tree; keys with more documents are cut into pairs of blocks.
+BLOCK = 256
+#: Fine points have at most 4096 groups; with fewer the bound is weaker, never wrong.
+FINE_BITS = 12
 #: Keys a task holds before it passes their places on.
 HELD_KEYS = 2_000_000
 #: Size of the filter for keys that occur once: 8 MiB, whatever the input. Bits
 #: shared by chance only let more keys through to the exact count.
 KEY_BITS = 1 << 26
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 S30, S27, S31 = (np.uint64(x) for x in (30, 27, 31))
@@ -226,8 +230,26 @@ def _keys_among(docs: DataFrame, size: int, num: int, den: int, bitmap_of_keys)
     return docs.select("id", "body").mapInArrow(run, "id long, set long, key long")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc, id (number of the set), n, point and hashes."""
+def _fine_point(hashes: np.ndarray) -> np.ndarray:
+    """Count vector of two to four shingles a group, in a power of two of groups."""
+    bits = min(max(len(hashes).bit_length() - 2, 6), FINE_BITS)
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector in fewer groups: neighbouring groups are added up."""
+    return counts.reshape(groups, -1).sum(1)
+
+
+def _fine_reaches(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether the summed minima of two fine points reach the bound."""
+    groups = min(len(x), len(y))
+    shared = np.minimum(_folded(x, groups), _folded(y, groups)).sum()
+    return bool(shared * (num + den) >= num * (x.sum() + y.sum()))
+
+
+def _points(docs: DataFrame, size: int) -> DataFrame:
+    """doc, id (number of the set), n, point and fine point."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -237,12 +259,29 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 [frame.column(0), pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64)),
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_point(s) for s in sets], pa.list_(pa.int32())),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["doc", "id", "n", "point", "hashes"],
+                 pa.array([_fine_point(s).astype("<u4").tobytes() for s in sets], pa.binary())],
+                names=["doc", "id", "n", "point", "fine"],
             )
 
-    return docs.select("id", "body").mapInArrow(
-        run, "doc long, id long, n long, point array<int>, hashes array<long>")
+    return docs.select("id", "body").mapInArrow(run, "doc long, id long, n long, point array<int>, fine binary")
+
+
+def _hashes(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(id, hashes) of the sets ``wanted`` (set, rep), made anew from the text of their row ``rep``."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for frame in frames:
+            sets = [shingles(t.as_py(), size, known) for t in frame.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0), pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64)),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "id", "hashes"])
+
+    some = marked(docs, bitmap(wanted, "rep"), "id").where("is_set").select("id", "body")
+    made = some.mapInArrow(run, "doc long, id long, hashes array<long>")
+    # A row may be given twice, and an id may have several texts.
+    same = (F.col("id") == F.col("set")) & (F.col("doc") == F.col("rep"))
+    return written(made.join(wanted, same).select("id", "hashes").dropDuplicates(["id"]), "jaccard-hashes")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -255,26 +294,24 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return rows.join(chosen, "key", "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: points first, sets for the rest."""
+def _verified(pairs: DataFrame, sets: DataFrame, hashes_of: Callable, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold: points first, then fine points, sets for the rest."""
     kind = pairs.schema["a"].dataType.simpleString()
 
-    def of(side: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    def of(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
-    overlap = F.aggregate(
-        F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    possible = written(
-        pairs.join(of("a", "n", "point"), "a").join(of("b", "n", "point"), "b")
-        .where(overlap * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"),
-        "jaccard-possible",
-    )
+    def both(rows: DataFrame, of_sets: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(of(of_sets, "a", *columns), "a").join(of(of_sets, "b", *columns), "b")
 
-    def hashes(side: str) -> DataFrame:
-        """Sets of one side of the pairs; those of no pair leave before they are shuffled."""
-        return marked(of(side, "hashes"), bitmap(possible.select(side), side), side).where("is_set").drop("is_set")
+    def fine(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            keep = [
+                _fine_reaches(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), num, den)
+                for x, y in zip(frame.column(2), frame.column(3), strict=True)]
+            yield frame.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             keep = []
             for x, y in zip(frame.column(2), frame.column(3), strict=True):
@@ -283,9 +320,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(shared * (num + den) >= num * (len(x) + len(y)))
             yield frame.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = possible.join(hashes("a"), "a").join(hashes("b"), "b").select(
-        "a", "b", "hashes_a", "hashes_b")
-    return both.mapInArrow(check, f"a {kind}, b {kind}")
+    schema = f"a {kind}, b {kind}"
+    overlap = F.aggregate(
+        F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    near = both(pairs, sets, "n", "point").where(
+        overlap * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
+    possible = written(
+        both(near, sets, "fine").select("a", "b", "fine_a", "fine_b").mapInArrow(fine, schema), "jaccard-possible")
+    hashes = hashes_of(possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct())
+    return both(possible, hashes, "hashes").select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, schema)
 
 
 class CountTree:
@@ -316,23 +359,74 @@ class CountTree:
         return at[np.minimum(found, point).sum(1) * (num + den) >= num * (n + found.sum(1))]
 
 
-def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components of a cluster, verified where they are found.
-
-    ``rows``: cluster, id, comp, point, hashes, one row per set. Large clusters are
-    cut into blocks by hash, and each pair of blocks is searched on its own. Pairs
-    that earlier links already connect are skipped, so that a pair of blocks
-    gives fewer links than it has rows.
-    """
-    sizes = rows.groupBy("cluster").count().select(
-        "cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocked = (
-        rows.join(sizes, "cluster")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of (key, id, ...) once per pair of blocks of their key; blocks are cut by hash."""
+    sizes = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    return (
+        rows.join(sizes, "key")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     )
 
+
+def _tree_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (key, a, b) between different components of a key, by R-tree and fine points.
+
+    ``rows``: key, id, comp, fine. Large keys are cut into pairs of blocks, each
+    searched on its own, so that a task holds two blocks. A candidate connects its
+    sets for the rest of the search, so that a pair of blocks gives fewer
+    candidates than it has rows; where one is refuted later, its key has to be
+    searched again.
+    """
+    grouped = _blocks(rows).groupBy("key", "low", "high").agg(
+        F.collect_list(F.struct("id", "comp", "block", "fine")).alias("rows")).select("key", "low", "high", "rows")
+
+    def of_group(low: int, high: int, group: pa.StructArray) -> list[tuple[int, int]]:
+        ids, comp, block = (group.field(c).to_numpy() for c in ("id", "comp", "block"))
+        fine = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in group.field("fine")]
+        points = np.array([_folded(x, GROUPS) for x in fine])
+        _, label = np.unique(comp, return_inverse=True)
+        here, others = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        if len(here) == 0 or len(others) == 0 or label.max() == 0:
+            return found
+        tree = CountTree(points[others])
+        for i in here.tolist():
+            near = others[tree.reaching(points[i], num, den)]
+            if low == high:
+                near = near[near > i]
+            near = near[label[near] != label[i]]
+            while len(near):
+                j, near = int(near[0]), near[1:]
+                if _fine_reaches(fine[i], fine[j], num, den):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    label[label == label[j]] = label[i]
+                    near = near[label[near] != label[i]]
+        return found
+
+    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            keys, out = [], []
+            for key, low, high, group in zip(*(frame.column(c) for c in range(4)), strict=True):
+                found = of_group(low.as_py(), high.as_py(), group.values)
+                keys += [key.as_py()] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array([a for a, _ in out], pa.int64()),
+                 pa.array([b for _, b in out], pa.int64())], names=["key", "a", "b"])
+
+    return grouped.mapInArrow(search, "key long, a long, b long")
+
+
+def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components of a cluster, verified where they are found.
+
+    ``rows``: key (of the cluster), id, comp, point, hashes. Pairs that earlier links already
+    connect are skipped, so that a pair of blocks gives fewer links than it has rows.
+    """
+    blocked = _blocks(rows)
+
     def search(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         ids, comp, block = (part.column(c).to_numpy() for c in ("id", "comp", "block"))
@@ -362,11 +456,22 @@ def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
         return pa.table({
             "a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-    return blocked.groupBy("cluster", "low", "high").applyInArrow(search, "a long, b long")
+    return blocked.groupBy("key", "low", "high").applyInArrow(search, "a long, b long")
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, hashes_of: Callable, num: int, den: int) -> DataFrame:
     """Links that connect all sets that links of the join connect."""
+
+    def still_open(keys: DataFrame, links: DataFrame, least: int) -> DataFrame:
+        """Rows of ``keys`` with their component, of keys with several components and ``least`` sets."""
+        comps = components(links, "a", "b", "jaccard-components")
+        placed = keys.join(comps, "id", "left").select(
+            "key", "id", F.coalesce("component_id", "id").alias("comp"))
+        several = placed.groupBy("key").agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")
+        ).where((F.col("x") != F.col("y")) & (F.col("m") >= least))
+        return written(placed.join(several.select("key"), "key", "left_semi"), "jaccard-open")
+
     found = None
     open_ = members.withColumn("comp", F.col("id"))
     for turn in range(PIVOT_ROUNDS):
@@ -377,21 +482,29 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             open_.join(pivots, "key").where("comp <> p.comp")
             .select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
         )
-        new = _verified(pairs, sets, num, den)
+        new = _verified(pairs, sets, hashes_of, num, den)
         found = written(new if found is None else found.union(new), "jaccard-links")
-        comps = components(found, "a", "b", "jaccard-components")
-        placed = members.join(comps, "id", "left").select(
-            "key", "id", F.coalesce("component_id", "id").alias("comp"))
-        several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        open_ = written(placed.join(several.select("key"), "key", "left_semi"), "jaccard-open")
+        # Two sets are settled by the one comparison they had.
+        open_ = still_open(members, found, 3)
         if open_.isEmpty():
             return found
-    # Sets that share open keys, directly or not, are one cluster, so that each set travels once.
-    firsts = open_.groupBy("key").agg(F.min("id").alias("first"))
-    clusters = components(open_.join(firsts, "key").select("first", "id"), "first", "id", "jaccard-clusters")
-    clustered = clusters.select("id", F.col("component_id").alias("cluster")).join(
-        open_.select("id", "comp").distinct(), "id").join(sets.select("id", "point", "hashes"), "id")
-    return found.union(_tree_links(clustered, num, den))
+    candidates = written(
+        _tree_candidates(open_.join(sets.select("id", "fine"), "id"), num, den), "jaccard-candidates")
+    new = written(_verified(candidates.select("a", "b").distinct(), sets, hashes_of, num, den), "jaccard-links")
+    refuted = candidates.join(new, ["a", "b"], "left_anti").select("key", "a")
+    again = still_open(open_.join(refuted, "key", "left_semi").select("key", "id"), found.union(new), 3)
+    if again.isEmpty():
+        return found.union(new)
+    # Links and candidates connect all sets whose fine points reach the bound, directly or not:
+    # they are one cluster, so that each set travels once.
+    near = components(found.union(candidates.select("a", "b")), "a", "b", "jaccard-clusters")
+    near = near.select("id", F.col("component_id").alias("key"))
+    doubtful = near.join(refuted.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("key").distinct()
+    clustered = written(
+        near.join(doubtful, "key", "left_semi").join(again.select("id", "comp").distinct(), "id"), "jaccard-clustered")
+    hashes = hashes_of(clustered.select("id"))
+    return found.union(new).union(
+        _tree_links(clustered.join(sets.select("id", "point"), "id").join(hashes, "id"), num, den))
 
 
 def _placed(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -409,12 +522,16 @@ def _placed(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     involved = written(
         members.select(F.col("id").alias("set")).distinct().join(same, "set").select("set", "rep"), "shared-sets")
     some = marked(named, bitmap(involved, "rep"), "id").where("is_set").select("id", "body")
-    sets = marked(_sets(some, shingle), bitmap(involved, "set", "rep"), "id", "doc").where("is_set")
-    sets = written(sets.drop("is_set", "doc"), "shingle-hashes")
+    sets = marked(_points(some, shingle), bitmap(involved, "set", "rep"), "id", "doc").where("is_set")
+    sets = written(sets.drop("is_set", "doc"), "shingle-points")
     # The bitmaps let some copies through; of these sets, one row stays.
     often = written(sets.groupBy("id").count().where("count > 1").select("id"), "shingle-often")
     sets = sets.join(often, "id", "left_anti").union(sets.join(often, "id", "left_semi").dropDuplicates(["id"]))
-    comps = components(_links(members, sets, num, den), "a", "b", "jaccard-result")
+
+    def hashes_of(ids: DataFrame) -> DataFrame:
+        return _hashes(named, shingle, involved.join(ids, F.col("set") == F.col("id"), "left_semi"))
+
+    comps = components(_links(members, sets, hashes_of, num, den), "a", "b", "jaccard-result")
     linked = same.join(comps, F.col("set") == F.col("id"), "left").select(
         "set", "rep", F.coalesce("component_id", "set").alias("comp"))
     smallest = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
