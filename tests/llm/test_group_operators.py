@@ -341,7 +341,7 @@ def test_digests_match_their_texts(docs):
 
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert hashlib.sha256(b"").hexdigest() and zlib.crc32(b"5") % 4 in range(4)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_jaccard_of_an_id_with_two_texts(spark):
