@@ -11,7 +11,6 @@ the other wrong pairs.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,36 +25,103 @@ from staylens.llm.common import text_or_empty, written
 SYMBOLS = 16
 #: Different words a task counts before it passes them on.
 COUNTED_WORDS = 200_000
-#: Characters of a text that are cut into words at once.
-PIECE_CHARS = 1 << 20
+#: Bytes of text that are cut into words at once.
+PIECE_BYTES = 1 << 22
+#: Words up to this many bytes have their hash with the document's put together from parts.
+JOINED_BYTES = 64
 #: Keys that a task makes at once.
 KEYS_AT_ONCE = 1 << 20
 #: Bits of the filter for reduced words that no word has: 8 MiB, whatever the input.
 KEY_BITS = 1 << 26
 
-RUN = re.compile("[a-zÀ-ÿ]+")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def runs(text: str) -> Iterator[str]:
-    """Maximal runs of letters, A-Z as a-z; a long text is taken in pieces that end between runs."""
-    start = 0
-    while start < len(text):
-        end = min(len(text), start + PIECE_CHARS)
-        while end < len(text) and RUN.match(text[end].lower() if text[end] < "\x80" else text[end]):
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), 0xC3]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = _crc_table()
+
+
+def cut_words(texts: pa.Array) -> Iterator[tuple[pa.DictionaryArray, np.ndarray]]:
+    """Maximal runs of letters, A-Z as a-z, and the number of each one's text, piece by piece.
+
+    Works on the UTF-8 bytes: U+00C0 to U+00FF are 0xC3 and any byte after it. A
+    piece ends where no run goes on, so a run is never cut.
+    """
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    start, stop = int(offsets[0]), int(offsets[-1])
+    while start < stop:
+        end = min(start + PIECE_BYTES, stop)
+        while end < stop and (LETTERS[data[end]] or data[end - 1] == 0xC3):
             end += 1
-        yield from RUN.findall(text[start:end].encode().lower().decode())
+        piece = data[start:end]
+        letter = LETTERS[piece]
+        letter[1:] |= piece[:-1] == 0xC3
+        first, last = letter.copy(), letter.copy()
+        first[1:] &= ~letter[:-1]
+        last[:-1] &= ~letter[1:]
+        edges = offsets[np.searchsorted(offsets, start, "right"): np.searchsorted(offsets, end, "left")] - start
+        first[edges] = letter[edges]
+        last[edges - 1] = letter[edges - 1]
+        at = np.nonzero(first)[0]
+        ends = np.concatenate([[0], np.cumsum(np.nonzero(last)[0] + 1 - at)]).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(
+            len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(LOWER[piece[letter]])))
+        yield words.dictionary_encode(), np.searchsorted(offsets, at + start, "right") - 1
         start = end
 
 
-def misspelt(doc_id, run: str, every: int) -> str:
-    """The run, or where the hash of document and run says so, the run without one of its letters."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
-    if h % every:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1:]
+def hashes(words: pa.Array, codes: np.ndarray, owner: np.ndarray, ids: list[bytes]) -> np.ndarray:
+    """crc32 of the id, a colon and the word, for each pair of a word's code and the number of its id.
+
+    The crc of two parts is the first one's, moved on by as many zero bytes as the
+    second has, xor the second one's. So words and ids are hashed once each.
+    """
+    plain = [w.encode() for w in words.to_pylist()]
+    own = np.array([zlib.crc32(w) for w in plain], np.uint32)
+    length = np.array([len(w) for w in plain])
+    low, high = owner.min(), owner.max()
+    heads = np.array([zlib.crc32(i + b":") for i in ids[low: high + 1]], np.uint32)
+    moved = [heads]
+    for _ in range(min(JOINED_BYTES, length.max())):
+        moved.append(CRC[moved[-1] & 0xFF] ^ moved[-1] >> 8)
+    out = own[codes] ^ np.stack(moved)[np.minimum(length[codes], len(moved) - 1), owner - low]
+    for i in np.nonzero(length[codes] > JOINED_BYTES)[0]:
+        out[i] = zlib.crc32(plain[codes[i]], int(heads[owner[i] - low]))
+    return out
+
+
+def _counted(counts: Counter, ids: pa.Array, texts: pa.Array, every: int | None) -> None:
+    """Adds the words of some texts to the counts."""
+    heads = [b"" if i is None else i.encode() for i in ids.to_pylist()]
+    for found, owner in cut_words(texts):
+        if not len(owner):
+            continue
+        words, codes = found.dictionary, found.indices.to_numpy()
+        n = np.bincount(codes, minlength=len(words))
+        if every:
+            h = hashes(words, codes, owner, heads)
+            for i in np.nonzero(h % np.uint32(every) == 0)[0]:
+                word = words[int(codes[i])].as_py()
+                at = int(h[i]) % len(word)
+                counts[word[:at] + word[at + 1:]] += 1
+                n[codes[i]] -= 1
+        for word, times in zip(words.to_pylist(), n.tolist(), strict=True):
+            counts[word] += times
 
 
 def count_words(
@@ -71,7 +137,7 @@ def count_words(
     """
 
     def flushed(counts: Counter) -> pa.RecordBatch:
-        kept = [(w, n) for w, n in counts.items() if len(w) >= least_chars]
+        kept = [(w, n) for w, n in counts.items() if n and len(w) >= least_chars]
         counts.clear()
         return pa.RecordBatch.from_arrays(
             [pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())],
@@ -80,16 +146,9 @@ def count_words(
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for frame in frames:
-            for doc_id, text in zip(frame.column(0), frame.column(1), strict=True):
-                own, text = doc_id.as_py(), text.as_py()
-                found = Counter(runs(text))
-                if every:
-                    for word, n in found.items():
-                        counts[misspelt(own, word, every)] += n
-                else:
-                    counts.update(found)
-                if len(counts) > COUNTED_WORDS:
-                    yield flushed(counts)
+            _counted(counts, frame.column(0), frame.column(1), every)
+            if len(counts) > COUNTED_WORDS:
+                yield flushed(counts)
         yield flushed(counts)
 
     counted = df.select(F.col(id_col).cast("string"), text_or_empty(text_col)).mapInArrow(run, "word string, n long")

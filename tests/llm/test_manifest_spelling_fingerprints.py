@@ -128,7 +128,7 @@ def test_chain_of_forms(spark):
 
 
 def test_count_words(docs, monkeypatch):
-    monkeypatch.setattr(spelling, "PIECE_CHARS", 7)
+    monkeypatch.setattr(spelling, "PIECE_BYTES", 7)
     monkeypatch.setattr(spelling, "COUNTED_WORDS", 3)
     texts = [None, "", "Straße straße STRASSE, ÀÉ×÷", "straße" * 9 + " wordy" * 40, "wordy-wordy\nWORDY ÉTUDE étude", "Kſ K"] * 30
     every = 5
