@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens.catalog.base import query
 from staylens.catalog.tables import DERIVED, MODELS, WHITE, Tables, trimmed
@@ -352,6 +352,54 @@ def _(t: Tables):
     return retrieval.resolve_attempts(t.attempts)
 
 
+def provider(name: str, error: Column):
+    """Offline stand-in for a completion provider that fails for some queries."""
+
+    def complete(asked: DataFrame) -> DataFrame:
+        return asked.select(
+            "query_id", error.alias("error"),
+            F.when(error.isNull(), F.concat(F.lit(f"{name}: "), "prompt")).alias("content"),
+            F.length("prompt").alias("prompt_tokens"),
+            (F.col("query_id") % 100).alias("completion_tokens"))
+
+    return complete
+
+
+PROVIDERS = {
+    "gemini": provider("gemini", F.expr(
+        "case when query_id % 3 = 0 then 'HTTP 429' when query_id % 5 = 0 then 'invalid key' end")),
+    "grok": provider("grok", F.expr("case when query_id % 2 = 0 then 'Request Timeout' end")),
+    "openai": provider("openai", F.expr("case when query_id % 7 = 0 then 'bad request' end")),
+}
+
+
+@query("v12_complete_chain", f"""
+    with asked as (select query_id, trim(question) as prompt, lower({trimmed('llm')}) as m from {{forms}}),
+    chains as (select query_id, prompt, unnest(case m when 'grok' then ['grok', 'gemini', 'openai']
+            when 'openai' then ['openai', 'gemini', 'grok'] else ['gemini', 'grok', 'openai'] end) as provider,
+        unnest([0, 1, 2]) as pos from asked),
+    tried as (select *, case provider
+            when 'gemini' then case when query_id % 3 = 0 then 'HTTP 429' when query_id % 5 = 0 then 'invalid key' end
+            when 'grok' then case when query_id % 2 = 0 then 'Request Timeout' end
+            else case when query_id % 7 = 0 then 'bad request' end end as error from chains),
+    lasts as (select query_id, coalesce(min(pos) filter (where error is null
+        or error in ('invalid key', 'bad request')), 2) as last from tried group by 1)
+    select t.query_id, cast(last + 1 as bigint) as calls, bool_or(pos = last and error is null) as ok,
+        max(provider) filter (where pos = last and error is null) as provider,
+        max(provider || ': ' || prompt) filter (where pos = last and error is null) as content,
+        max(cast(length(prompt) as bigint)) filter (where pos = last and error is null) as prompt_tokens,
+        max(t.query_id % 100) filter (where pos = last and error is null) as completion_tokens,
+        case when not bool_or(pos = last and error is null) then 'all completion providers failed: '
+            || string_agg(provider || ': ' || error, ' | ' order by pos) filter (where pos <= last) end as error
+    from tried t join lasts l on l.query_id = t.query_id group by t.query_id, last""")
+def _(t: Tables):
+    asked = t.forms.select("query_id", "question", F.trim("question").alias("prompt"), "llm")
+    outcomes, attempts = retrieval.complete_chain(
+        asked, PROVIDERS, shared_dir(t.spark, "chain"), MODEL, col="llm")
+    calls = attempts.groupBy("query_id").agg(F.count("*").alias("calls"))
+    return outcomes.join(calls, "query_id")
+
+
 @query("v13_is_retryable", """
     select event_id, event_type in ('error', 'click') as retryable from {events}""")
 def _(t: Tables):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from staylens import schemas
 from staylens.catalog.base import query
@@ -20,6 +22,48 @@ def _(t: Tables):
     return tables.scan(t.spark, t.folder, "nation")
 
 
+# Schemas that a later reader wants of three tables: casts, missing and added columns.
+WANTED = {
+    "documents": "doc_id string, text string, source int, n_chars int, license string",
+    "events": "event_id bigint, ts string, user_id int, event_type string, value int",
+    "supplier": "s_suppkey bigint, s_name int, s_nationkey string, s_acctbal double, s_phone string",
+}
+
+
+def checked(t: Tables, name: str) -> tuple[DataFrame, DataFrame]:
+    return tables.scan_checked(t.spark, t.folder, name, StructType.fromDDL(WANTED[name]))
+
+
+@query("s1_scan_checked", """
+    select cast(doc_id as varchar) as doc_id, md5(text) as text, try_cast(source as int) as source,
+        cast(n_chars as int) as n_chars, cast(null as varchar) as license from {documents}""")
+def _(t: Tables):
+    return checked(t, "documents")[0].withColumn("text", F.md5("text"))
+
+
+@query("s1_schema_report", """
+    with lost as (select
+            (select count(source) - count(try_cast(source as int)) from {documents}) as source,
+            (select count(s_name) - count(try_cast(s_name as int)) from {supplier}) as s_name)
+    select * from (values
+        ('documents', 'doc_id', 'bigint', 'string', 'cast', 0), ('documents', 'text', 'string', 'string', 'same', 0),
+        ('documents', 'source', 'string', 'int', 'cast', (select source from lost)),
+        ('documents', 'n_chars', 'bigint', 'int', 'cast', 0),
+        ('documents', 'license', null, 'string', 'missing', 0), ('documents', 'lang', 'string', null, 'added', 0),
+        ('events', 'event_id', 'bigint', 'bigint', 'same', 0), ('events', 'ts', 'timestamp_ntz', 'string', 'cast', 0),
+        ('events', 'user_id', 'bigint', 'int', 'cast', 0), ('events', 'event_type', 'string', 'string', 'same', 0),
+        ('events', 'value', 'double', 'int', 'cast', 0), ('events', 'props', 'string', null, 'added', 0),
+        ('supplier', 's_suppkey', 'bigint', 'bigint', 'same', 0),
+        ('supplier', 's_name', 'string', 'int', 'cast', (select s_name from lost)),
+        ('supplier', 's_nationkey', 'int', 'string', 'cast', 0),
+        ('supplier', 's_acctbal', 'double', 'double', 'same', 0),
+        ('supplier', 's_phone', null, 'string', 'missing', 0))
+        v("table", "column", stored, wanted, change, lost)""")
+def _(t: Tables):
+    reports = [checked(t, name)[1].withColumn("table", F.lit(name)) for name in WANTED]
+    return reduce(DataFrame.unionByName, reports)
+
+
 @query("s2_by_id", "select c_custkey, c_name from {customer} where c_custkey = 42")
 def _(t: Tables):
     return tables.by_id(t.customer, "42", "c_custkey").select("c_custkey", "c_name")

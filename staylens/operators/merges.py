@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from staylens.functions.text import sha_id, trim_ws
 from staylens.operators.filters import non_empty
 from staylens.operators.windows import keep_first, keep_last
+from staylens.session import shared_dir, store
 
 # Overwritten columns and rating columns per source.
 HOTEL_UPSERT_COLUMNS = [
@@ -44,8 +45,10 @@ def _merge(target: DataFrame, updates: DataFrame, key: str, merged: dict[str, Co
 
     ``merged`` may refer to target ``t`` and update ``u`` columns; updates hold
     one row per key. Left joins let small updates be broadcast, so a large
-    target is not shuffled for them, which a full outer join would force.
+    target is not shuffled for them, which a full outer join would force. The
+    reduced updates are written once and read by all three joins.
     """
+    updates = store(updates, shared_dir(updates.sparkSession, "merge"))
     t, u = target.alias("t"), updates.alias("u")
     columns = [
         F.coalesce(f"t.{key}", f"u.{key}").alias(key) if c == key else merged[c].alias(c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +27,10 @@ FALLBACKS = {
 RETRYABLE = ["429", "rate limit", "timeout", "temporarily", "unavailable", "resource exhausted"]
 ALL_FAILED = "all completion providers failed: "
 ERROR_SEPARATOR = " | "
+#: What a provider may answer beside ``query_id``; columns it leaves out are null.
+ANSWER = {"content": "string", "error": "string", "prompt_tokens": "long", "completion_tokens": "long"}
+#: Error of a query a provider was asked and gave neither content nor error for; retryable.
+NO_ANSWER = "unavailable: no answer"
 PROMPT_NOTE = (
     "Important: If a review has a google_maps_uri or photo_name, you MUST include them in the "
     "JSON output."
@@ -129,6 +134,57 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
+def _attempt(asked: DataFrame, complete: Callable[[DataFrame], DataFrame], provider: str,
+             position: int) -> DataFrame:
+    """One attempt per asked query, also where the provider gave no row."""
+    given = complete(asked)
+    for c, kind in ANSWER.items():
+        given = given.withColumn(c, F.col(c).cast(kind) if c in given.columns else F.lit(None).cast(kind))
+    met = asked.select("query_id").join(given.select("query_id", *ANSWER), "query_id", "left")
+    error = F.when(F.col("content").isNull(), F.coalesce("error", F.lit(NO_ANSWER))).otherwise(F.col("error"))
+    return met.withColumn("error", error).select(
+        "query_id", F.lit(position).alias("chain_pos"), F.lit(1).alias("attempt_no"),
+        F.lit(provider).alias("provider"), F.col("error").isNull().alias("ok"), *ANSWER)
+
+
+def complete_chain(
+    prompts: DataFrame,
+    providers: dict[str, Callable[[DataFrame], DataFrame]],
+    folder: str,
+    preferred: str = DEFAULT_PROVIDER,
+    col: str = "preferred_model",
+) -> tuple[DataFrame, DataFrame]:
+    """Outcome per query and all attempts, of completions that fall back along a provider chain.
+
+    ``prompts`` holds one row per query: query_id, question, prompt and the model asked
+    for. A provider maps (query_id, question, prompt) to one row per query with
+    content or error and, if it knows them, the tokens used. It gets only the queries
+    that are still open: not answered, and without an error that a retry cannot mend.
+    Every step of the chain is written below ``folder`` before the next begins, so no
+    provider is called twice for a query; there are as many steps as providers.
+    An outcome has query_id, ok, provider, content, error and the tokens of the winning attempt.
+    """
+    unknown = sorted(set(providers) - set(FALLBACKS))
+    if unknown or not providers:
+        raise ValueError(f"providers must be some of {sorted(FALLBACKS)}, not {unknown}")
+    chained = resolve_chain(prompts, list(providers), preferred, col)
+    still_open = store(chained.select("query_id", "question", "prompt", "chain"), f"{folder}/chains")
+    steps = []
+    for position in range(len(providers)):
+        turn = still_open.withColumn("_provider", F.get("chain", F.lit(position)))
+        tried = [
+            _attempt(turn.filter(F.col("_provider") == name).select("query_id", "question", "prompt"),
+                     complete, name, position)
+            for name, complete in providers.items()
+        ]
+        steps.append(store(reduce(DataFrame.unionByName, tried), f"{folder}/attempts-{position}"))
+        again = steps[-1].filter(~F.col("ok") & is_retryable(F.col("error")))
+        still_open = still_open.join(again.select("query_id"), "query_id", "left_semi")
+    attempts = reduce(DataFrame.unionByName, steps)
+    used = attempts.filter("ok").select("query_id", "prompt_tokens", "completion_tokens")
+    return resolve_attempts(attempts).join(used, "query_id", "left"), attempts
+
+
 def enrich_media(df: DataFrame, key: str) -> DataFrame:
     """Map and photo links of rows that have a map address or a photo name."""
 
@@ -153,7 +209,7 @@ def search(
     hotels: DataFrame,
     embedder: Callable[[list[str]], np.ndarray],
     judge: Callable[[DataFrame], DataFrame],
-    complete: Callable[[DataFrame], DataFrame],
+    complete: Callable[[DataFrame], DataFrame] | dict[str, Callable[[DataFrame], DataFrame]],
     question: str,
     header: str,
     key: str = "",
@@ -167,6 +223,12 @@ def search(
     maps (query_id, question, prompt) to (query_id, content). Unsafe questions
     leave before embedding, search and completion. Verdicts, hits and answers are
     written below ``folder``, so every model is called once per question.
+
+    With a dict of providers in place of ``complete``, each question goes along the chain
+    of its preferred model (see ``complete_chain``). The status then also tells the model
+    that answered, its tokens, the number of hits and the error of a query that no
+    provider answered, and the result holds ``attempts`` and, for the telemetry
+    rollups, ``usage``.
     """
     folder = folder or shared_dir(forms.sparkSession, "search")
     inputs = normalise_queries(forms, question, model)
@@ -180,12 +242,19 @@ def search(
     hits = store(knn_filtered(items, vectors, k), f"{folder}/hits")
     found = hydrate_hits(hits, items, hotels)
     prompts = build_prompts(safe, found, header)
-    completed = store(complete(prompts), f"{folder}/answers")
+    if isinstance(complete, dict):
+        asked = prompts.join(safe.select("query_id", "preferred_model"), "query_id")
+        outcomes, attempts = complete_chain(asked, complete, folder, model)
+        completed = store(outcomes, f"{folder}/answers")
+    else:
+        completed = store(complete(prompts), f"{folder}/answers").withColumn("error", F.lit(None).cast("string"))
     answers = judged.join(completed, "query_id", "left")
-    # Queries without hits are answered by an empty list.
-    answers = answers.withColumn("content", F.coalesce("content", F.lit("[]")))
-    gated = apply_safety(answers.select("query_id", "safe", "content"))
-    rows, failed = parse_completions(gated.filter("safe").select("query_id", "content"))
+    # Queries without hits are answered by an empty list, those whose providers failed not at all.
+    answers = answers.withColumn(
+        "content", F.when(F.col("error").isNull(), F.coalesce("content", F.lit("[]"))))
+    gated = apply_safety(answers.select("query_id", "safe", "content", "error"))
+    answered = gated.filter(F.col("safe") & F.col("error").isNull())
+    rows, failed = parse_completions(answered.select("query_id", "content"))
     shown = enrich_media(rows, key) if key else rows
     stats = result_stats(
         shown.select("query_id", F.col("Rating").alias("rating"), F.col("City").alias("city")),
@@ -197,4 +266,13 @@ def search(
         .join(stats, "query_id", "left")
         .na.fill({"parse_failed": False, "result_count": 0, "mean_rating": 0.0, "city_count": 0})
     )
-    return {"hits": found, "prompts": prompts, "rows": shown, "status": status}
+    out = {"hits": found, "prompts": prompts, "rows": shown, "status": status}
+    if isinstance(complete, dict):
+        counted = hits.groupBy("query_id").agg(F.count("*").alias("vector_count"))
+        told = completed.select(
+            "query_id", F.col("provider").alias("model"), "prompt_tokens", "completion_tokens", "error")
+        out["status"] = status.join(told, "query_id", "left").join(counted, "query_id", "left").na.fill(
+            {"vector_count": 0})
+        out["attempts"] = attempts
+        out["usage"] = told.filter("model is not null").drop("error")
+    return out

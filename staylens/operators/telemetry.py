@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from staylens.operators.ranges import weighted_ranks
 
 # Upper bounds of the histogram buckets (the last bucket is open).
 BOUNDS = [0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]
@@ -48,18 +50,16 @@ def histogram_rollup(events: DataFrame, keys: list[str], bounds: list[float] = B
     )
 
 
-def quantile_rollup(events: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+def quantile_rollup(events: DataFrame, keys: list[str], shares: list[float],
+                    parts: int | None = None) -> DataFrame:
     """Exact quantiles: the smallest value that at least the given share of values does not exceed.
 
-    Equal values are counted map-side first; a group of any size is ranked over
-    its different values only.
+    Equal values are counted map-side first. The different values of a group are then
+    ranked by ranges, so that no task holds all values of a large group.
     """
     per_value = events.groupBy(*keys, "value").agg(F.count("value").alias("_n"))
-    group = Window.partitionBy(*keys)
-    ranked = per_value.withColumns({
-        "_upto": F.sum("_n").over(group.orderBy("value")), "_all": F.sum("_n").over(group)})
-    at = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * s), F.col("value"))) for s in shares]
-    return ranked.groupBy(*keys).agg(F.sum("_n").alias("events"), F.array(*at).alias("quantiles"))
+    ranks = weighted_ranks(per_value, keys, "value", "_n", shares, parts)
+    return ranks.withColumnsRenamed({"total": "events", "values": "quantiles"})
 
 
 def gauge_last(events: DataFrame, keys: list[str]) -> DataFrame:

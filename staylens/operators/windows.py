@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens.functions.text import text_hash
+from staylens.operators.ranges import before, key_at, not_before, ranged
 
 _RN = "_rn"
+#: A page up to this place is cheaper as a top-n than by ranges.
+PAGE_ROWS = 10_000
 
 
 def first_per_key(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
@@ -67,17 +70,20 @@ def top_n(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("airport_count"), F.asc("name"), F.asc("iata_code")).limit(n)
 
 
-def slice_rows(df: DataFrame, key: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` in the order of the unique ``key``.
+def slice_rows(df: DataFrame, key: list[str], offset: int = 0, limit: int | None = None,
+               parts: int | None = None) -> DataFrame:
+    """Rows ``offset`` .. ``offset + limit`` in the order of the unique ``key``, nulls first.
 
-    Without a limit the skipped rows are found by a top-n and removed by their
-    key; an open-ended offset would move all rows through one task.
+    A page among the first ``PAGE_ROWS`` rows is a top-n. Any other slice is a filter between
+    the keys at its two ends, which are found by ranges of the keys alone; the filter
+    reaches the scan, and no task sees the rows that are skipped.
     """
-    ordered = df.orderBy(*key)
-    if limit is not None:
-        return ordered.offset(offset).limit(limit)
-    skipped = df.select(*[F.col(c).alias(f"_{c}") for c in key]).orderBy(
-        *[f"_{c}" for c in key]
-    ).limit(offset)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
-    return df.join(skipped, same, "left_anti").orderBy(*key)
+    if limit is not None and offset + limit <= PAGE_ROWS and parts is None:
+        return df.orderBy(*key).offset(offset).limit(limit)
+    ranges = ranged(df.select(*key), key, parts)
+    start = key_at(ranges, key, offset)
+    if start is None:
+        return df.filter(F.lit(False))
+    rows = df.filter(not_before(key, start))
+    end = None if limit is None else key_at(ranges, key, offset + limit)
+    return (rows if end is None else rows.filter(before(key, end))).orderBy(*key)

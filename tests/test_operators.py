@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from staylens.operators import addresses, aggregates, filters, joins, pages, payloads, sets, windows
+from staylens.operators import addresses, aggregates, filters, joins, pages, payloads, sets, telemetry, windows
 from staylens.plans import models
 
 
@@ -107,6 +107,40 @@ def test_sorted_output(spark):
     assert windows.slice_rows(df, ["id"], 18).count() == 2
 
 
+def test_slices_by_ranges(spark):
+    keys = [(a, b) for a in (None, 1, 2, 3) for b in (None, "x", "y")] + [(i, "z") for i in range(4, 40)]
+    df = spark.createDataFrame(keys, "a int, b string").repartition(5)
+    order = sorted(keys, key=lambda k: [(v is not None, v) for v in k])
+    for offset, limit in [(0, 3), (1, 2), (2, None), (5, 10), (11, 1), (30, 100), (47, None), (48, 2), (48, None), (0, 0)]:
+        got = [tuple(r) for r in windows.slice_rows(df, ["a", "b"], offset, limit, parts=6).collect()]
+        assert got == order[offset:][:limit], (offset, limit)
+    assert windows.slice_rows(df.limit(0), ["a", "b"], 2).count() == 0
+
+
+def test_deep_page_is_a_filter(spark):
+    df = spark.range(30_000).withColumn("v", F.col("id") * 2)
+    page = windows.slice_rows(df, ["id"], 20_000, 5)
+    assert [r.id for r in page.collect()] == list(range(20_000, 20_005))
+
+
+def test_quantiles_by_ranges(spark, rows):
+    import math
+    groups = {
+        "a": [5.0, 1.0, 1.0, 1.0, None, 9.0], "b": [None], None: [2.0, float("inf"), float("nan"), -0.5],
+        "c": [float(i * 7919 % 500) for i in range(1000)], "d": [3.0] * 50,
+    }
+    shares = [0.0, 0.25, 0.5, 0.999, 1.0]
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, value double")
+    want = {}
+    for k, vs in groups.items():
+        vs = sorted((v for v in vs if v is not None), key=lambda v: (math.isnan(v), v))
+        want[k] = (len(vs), [str(vs[max(math.ceil(len(vs) * s), 1) - 1]) if vs else "None" for s in shares])
+    for parts in (None, 7):
+        found = telemetry.quantile_rollup(df, ["k"], shares, parts).collect()
+        assert {r.k: (r.events, [str(v) for v in r.quantiles]) for r in found} == want
+    assert telemetry.quantile_rollup(df.limit(0), ["k"], shares).count() == 0
+
+
 def test_reviews_for_hotel_order(spark):
     df = spark.createDataFrame(
         [("h", 1, 1, 1), ("h", 2, 3, 1), ("h", 3, 3, 2), ("g", 4, 9, 9)],

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from staylens.functions.vectors import hashing_embedder
-from staylens.operators import retrieval, vectors
+from staylens.operators import retrieval, telemetry, vectors
 from staylens.operators.registry import Registry, complete_with, default_registries
 from staylens.session import shared_dir
 
@@ -243,6 +243,64 @@ def test_search_end_to_end(spark, index):
     # However often the results are read, the model answered one question once.
     assert calls.value == 1
 
+    chained = retrieval.search(
+        forms, items, hotels, hashing_embedder(4096), judge,
+        {"gemini": stub("'timeout'"), "grok": stub("cast(null as string)", answer, completion_tokens=5)},
+        "dflt", "Header.", "KEY", 2)
+    told = {r.query_id: r for r in chained["status"].collect()}
+    assert (told[1].model, told[1].completion_tokens, told[1].vector_count, told[1].result_count) == ("grok", 5, 2, 1)
+    assert (told[2].model, told[2].vector_count, told[3].model, told[3].error) == (None, 0, None, None)
+    assert chained["attempts"].count() == 2
+    used = telemetry.recorded_tokens(chained["usage"]).filter("type = 'completion'").collect()
+    assert [(r.model, r.value) for r in used] == [("grok", 5.0)]
+
+    down = {"gemini": stub("'refused'"), "grok": stub("cast(null as string)")}
+    failed = retrieval.search(
+        forms, items, hotels, hashing_embedder(4096), judge, down, "dflt", "Header.", "KEY", 2)
+    told = {r.query_id: r for r in failed["status"].collect()}
+    assert told[1].error == "all completion providers failed: gemini: refused" and not told[1].parse_failed
+    assert failed["rows"].count() == 0 and failed["usage"].count() == 0
+
+
+def stub(error, content="[]", **more):
+    def complete(asked):
+        out = asked.select("query_id", F.expr(error).alias("error"))
+        out = out.withColumn("content", F.when(F.col("error").isNull(), F.lit(content)))
+        return out.withColumns({c: F.lit(v) for c, v in more.items()})
+    return complete
+
+
+def test_complete_chain(spark, tmp_path):
+    asked = spark.createDataFrame(
+        [(1, "q", "p", "grok"), (2, "q", "p", ""), (3, "q", "p", None), (4, "q", "p", " OpenAI "), (5, "q", "p", "x")],
+        "query_id long, question string, prompt string, preferred_model string")
+    seen = spark.sparkContext.accumulator(0)
+    once = complete_with(lambda xs: seen.add(len(xs)) or [None] * len(xs), "prompt", "content")
+    providers = {
+        "gemini": stub("case when query_id = 2 then 'invalid key' when query_id = 3 then 'TIMEOUT' "
+                       "when query_id = 5 then 'HTTP 429' end", "g", prompt_tokens=7),
+        "grok": once, "openai": stub("case when query_id = 5 then 'refused' end", "o"),
+    }
+    outcomes, attempts = retrieval.complete_chain(asked, providers, str(tmp_path))
+    got = {r.query_id: (r.ok, r.provider, r.content, r.prompt_tokens, r.error) for r in outcomes.collect()}
+    assert got == {
+        1: (True, "gemini", "g", 7, None),
+        2: (False, None, None, None, "all completion providers failed: gemini: invalid key"),
+        3: (True, "openai", "o", None, None), 4: (True, "openai", "o", None, None),
+        5: (False, None, None, None, "all completion providers failed: gemini: HTTP 429 | "
+            "grok: unavailable: no answer | openai: refused"),
+    }
+    outcomes.count()
+    # Query 1 first, 3 and 5 as the second step; 2 is closed, 4 answered.
+    assert seen.value == 3
+    tried = sorted((r.query_id, r.chain_pos, r.provider) for r in attempts.collect())
+    assert tried == [(1, 0, "grok"), (1, 1, "gemini"), (2, 0, "gemini"), (3, 0, "gemini"), (3, 1, "grok"),
+                     (3, 2, "openai"), (4, 0, "openai"), (5, 0, "gemini"), (5, 1, "grok"), (5, 2, "openai")]
+    assert retrieval.complete_chain(asked.limit(0), providers, str(tmp_path / "none"))[0].count() == 0
+    for wrong in ({}, {"other": once}):
+        with pytest.raises(ValueError):
+            retrieval.complete_chain(asked, wrong, str(tmp_path / "wrong"))
+
 
 def test_registry():
     r = Registry("embedder")

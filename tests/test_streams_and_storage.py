@@ -2,6 +2,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from staylens import schemas
 from staylens.operators import telemetry
@@ -158,3 +159,20 @@ def test_point_lookup(spark, rows):
 
 def test_shared_dir_follows_the_cluster(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_scan_checked(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([("1", 5, 2.0), ("x", 6, None), (None, 7, 1e10)], "Id string, n long, v double").write.parquet(
+        f"{folder}/t.parquet")
+    wanted = StructType.fromDDL("id int, v int, n bigint, w string")
+    df, report = tables.scan_checked(spark, folder, "t", wanted)
+    assert df.dtypes == [("id", "int"), ("v", "int"), ("n", "bigint"), ("w", "string")]
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[2]) == [(1, 2, 5, None), (None, None, 6, None), (None, None, 7, None)]
+    assert sorted(map(tuple, report.collect())) == [
+        ("id", "string", "int", "cast", 1), ("n", "bigint", "bigint", "same", 0), ("v", "double", "int", "cast", 1),
+        ("w", None, "string", "missing", 0)]
+    _, report = tables.scan_checked(spark, folder, "t", StructType.fromDDL("n bigint"))
+    assert [r.column for r in report.filter("change = 'added'").collect()] == ["id", "v"]
+    with pytest.raises(ValueError):
+        tables.scan_checked(spark, folder, "t", StructType([StructField("w", StringType(), False)]))
