@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from staylens.functions.text import words
 from staylens.functions.vectors import HashingEmbedder, has_vector
 from staylens.operators.filters import admitted_keys, restrict_key
+from staylens.operators.windows import first_per_key, keep_last
 from staylens.session import shared_dir, store
 
 # Fixed values of the index and of chunking.
@@ -348,26 +349,101 @@ def ann_build(items: DataFrame, folder: str, leaf_size: int = LEAF_SIZE, seed: i
         leaf_of, f"{fields}, leaf long")
     # Keeps the columns of an index without items.
     store(spark.createDataFrame([], assigned.schema), f"{folder}/columns")
-    assigned.sortWithinPartitions("cell", "leaf").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/items")
-    return ann_open(spark, folder, summarise=True)
+    return _publish(spark, folder, 0, assigned)
 
 
-def ann_open(spark: SparkSession, folder: str, summarise: bool = False) -> Index:
-    """A stored index; ``summarise`` makes its leaf tables anew from the stored items."""
+def _sums(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items per leaf, and the restrict keys of each leaf with the largest rating."""
+    if set(RESTRICT_COLUMNS) <= set(items.columns):
+        keys = items.select(
+            "leaf", "rating", F.explode(admitted_keys({c: F.col(c) for c in RESTRICT_COLUMNS})).alias("key"))
+        keys = keys.groupBy("leaf", "key").agg(F.max("rating").alias("rating"))
+    else:
+        keys = items.select("leaf").distinct().select(
+            "leaf", F.lit("").alias("key"), F.lit(None).cast("double").alias("rating"))
+    return items.groupBy("leaf").agg(F.count("*").alias("n")), keys
+
+
+def _stored_items(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{folder}/columns").schema).parquet(f"{folder}/{name}")
+
+
+def _manifest(spark: SparkSession, folder: str, version: int, items: str, deltas: list[str],
+              counts: DataFrame, keys: DataFrame) -> Index:
+    """Writes the leaf tables of a version, then the row that makes the version valid."""
+    centres = spark.read.parquet(f"{folder}/centres").join(counts, "leaf").select("leaf", "centre", "n")
+    store(centres, f"{folder}/leaves-{version}")
+    store(keys, f"{folder}/admits-{version}")
+    row = spark.createDataFrame([(items, deltas)], "items string, deltas array<string>")
+    row.write.mode("overwrite").parquet(f"{folder}/versions/version={version}")
+    return ann_open(spark, folder)
+
+
+def _publish(spark: SparkSession, folder: str, version: int, assigned: DataFrame) -> Index:
+    """Writes items that know their cell and leaf as a version without deltas."""
+    name = f"items-{version}"
+    assigned.sortWithinPartitions("cell", "leaf").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/{name}")
+    return _manifest(spark, folder, version, name, [], *_sums(_stored_items(spark, folder, name)))
+
+
+def _newest(spark: SparkSession, folder: str):
+    return spark.read.parquet(f"{folder}/versions").orderBy(F.desc("version")).first()
+
+
+def ann_open(spark: SparkSession, folder: str) -> Index:
+    """The newest version of a stored index: its items, with the rows of later deltas in their place."""
+    now = _newest(spark, folder)
+    items = _stored_items(spark, folder, now["items"])
+    if now["deltas"]:
+        changes = spark.read.parquet(*[f"{folder}/{d}" for d in now["deltas"]])
+        last = first_per_key(changes, ["id"], [F.desc("version")])
+        items = items.join(changes.select("id").distinct(), "id", "left_anti").unionByName(
+            last.filter("not deleted").select(*items.columns))
+    leaves, admits = (f"{folder}/{t}-{now['version']}" for t in ("leaves", "admits"))
+    return Index(items, spark.read.parquet(leaves), spark.read.parquet(admits))
+
+
+def ann_upsert(spark: SparkSession, folder: str, delta: DataFrame, pos: str) -> Index:
+    """A new version of a stored index in which the delta's rows replace or join those of their id.
+
+    The last row of an id in the order of ``pos`` wins; one without a vector removes the id.
+    Only the delta is placed, each row in the leaf of the nearest centre, and written;
+    stored items are not touched until ``ann_compact``. Leaf counts and restrict keys may
+    still tell of replaced rows: that can cost a needless read, never a hit. Columns
+    that the delta lacks are null.
+    """
+    now = _newest(spark, folder)
+    version, name = now["version"] + 1, f"delta-{now['version'] + 1}"
     columns = spark.read.parquet(f"{folder}/columns").schema
-    items = spark.read.schema(columns).parquet(f"{folder}/items")
-    if summarise:
-        counts = items.groupBy("leaf").agg(F.count("*").alias("n"))
-        centres = spark.read.parquet(f"{folder}/centres").join(counts, "leaf")
-        store(centres.select("leaf", "centre", "n"), f"{folder}/leaves")
-        if set(RESTRICT_COLUMNS) <= set(items.columns):
-            keys = items.select(
-                "leaf", "rating", F.explode(admitted_keys({c: F.col(c) for c in RESTRICT_COLUMNS})).alias("key"))
-            keys = keys.groupBy("leaf", "key").agg(F.max("rating").alias("rating"))
-        else:
-            keys = counts.select("leaf", F.lit("").alias("key"), F.lit(None).cast("double").alias("rating"))
-        store(keys, f"{folder}/admits")
-    return Index(items, spark.read.parquet(f"{folder}/leaves"), spark.read.parquet(f"{folder}/admits"))
+    centres = spark.read.parquet(f"{folder}/centres")
+    least = centres.agg(F.min("leaf")).first()[0]
+    if least is None:
+        raise ValueError("an index without leaves takes no deltas")
+    # Placed and written from one stored copy, so that both see the same rows.
+    last = store(keep_last(delta, ["id"], [pos]), f"{folder}/given-{version}")
+    near = knn(centres.select(F.col("leaf").alias("id"), F.col("centre").alias("embedding")),
+               last.select(F.col("id").alias("query_id"), "embedding"), 1, "cosine")
+    placed = last.drop("cell", "leaf").join(
+        near.select(F.col("query_id").alias("id"), F.col("id").alias("leaf")), "id", "left")
+    placed = placed.withColumn("leaf", F.coalesce("leaf", F.lit(least)).cast("long"))
+    placed = placed.withColumn("cell", F.floor(F.col("leaf") / CELL_LEAVES))
+    fields = [
+        (F.col(f.name) if f.name in placed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns]
+    written = store(placed.select(
+        *fields, (~has_vector(F.col("embedding"))).alias("deleted"), F.lit(version).alias("version")), f"{folder}/{name}")
+    counts, keys = _sums(written.filter("not deleted"))
+    before = [spark.read.parquet(f"{folder}/{t}-{now['version']}") for t in ("leaves", "admits")]
+    counts = before[0].select("leaf", "n").unionByName(counts).groupBy("leaf").agg(F.sum("n").alias("n"))
+    keys = before[1].unionByName(keys).groupBy("leaf", "key").agg(F.max("rating").alias("rating"))
+    return _manifest(spark, folder, version, now["items"], [*now["deltas"], name], counts, keys)
+
+
+def ann_compact(spark: SparkSession, folder: str) -> Index:
+    """A new version with the deltas worked into the items; hits stay the same.
+
+    Files of older versions stay for their readers.
+    """
+    return _publish(spark, folder, _newest(spark, folder)["version"] + 1, ann_open(spark, folder).items)
 
 
 def ann_query(index: Index, queries: DataFrame, k: int = DEFAULT_NEIGHBOURS, share: float = LEAF_SHARE,

@@ -125,6 +125,29 @@ def test_ann_restricts(spark, rows, items, queries, monkeypatch):
     assert {q for q, _ in found} == {q for q, *_ in brute("dot", 9, admits)}
 
 
+def test_index_deltas(spark, rows, items, queries):
+    folder = shared_dir(spark, "tree")
+    turned = F.when(F.col("id") % 5 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    surplus = items.filter("id < 20").withColumn("id", F.col("id") + 1000)
+    base = items.filter("id < 200").withColumn("embedding", turned).unionByName(surplus)
+    vectors.ann_build(base, folder, leaf_size=20)
+    right = items.filter("id % 5 = 0 or id >= 200")
+    older = right.withColumns({"embedding": F.reverse("embedding"), "pos": F.lit(1)})
+    vectors.ann_upsert(spark, folder, right.withColumn("pos", F.lit(2)).unionByName(older), "pos")
+    gone = surplus.select("id", F.lit(None).cast("array<double>").alias("embedding"), F.lit(0).alias("pos"))
+    vectors.ann_upsert(spark, folder, gone, "pos")
+    vectors.ann_upsert(spark, folder, gone.limit(0), "pos")
+    want, live = brute("dot", 9, admits), items.filter("size(embedding) > 0")
+    for index in (vectors.ann_open(spark, folder), vectors.ann_compact(spark, folder)):
+        assert rows(index.items, "id") == rows(live, "id")
+        got = vectors.ann_query(index, queries, 9, share=1.0, restricted=True)
+        assert rows(got, "query_id", "id", "rank") == want
+    assert vectors._newest(spark, folder)["deltas"] == []
+    # Deltas go on after a compaction, and an id that was removed may come back.
+    index = vectors.ann_upsert(spark, folder, surplus.withColumn("pos", F.lit(0)), "pos")
+    assert index.items.count() == live.count() + 20
+
+
 def test_ann_of_equal_vectors_and_of_nothing(spark, rows):
     data = [(i, [1.0, 0.0] if i % 3 else [float(i), 1.0]) for i in range(300)] + [(999, [0.0, 0.0])]
     items = spark.createDataFrame(data, "id long, embedding array<double>")
