@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from staylens.catalog.base import query
 from staylens.catalog.tables import DERIVED, MODELS, WHITE, Tables, trimmed
@@ -365,10 +365,11 @@ def _(t: Tables):
     return retrieval.resolve_attempts(t.attempts)
 
 
-def provider(name: str, error: Column):
+def provider(name: str, failing: str):
     """Offline stand-in for a completion provider that fails for some queries."""
 
     def complete(asked: DataFrame) -> DataFrame:
+        error = F.expr(failing)
         return asked.select(
             "query_id", error.alias("error"),
             F.when(error.isNull(), F.concat(F.lit(f"{name}: "), "prompt")).alias("content"),
@@ -379,10 +380,10 @@ def provider(name: str, error: Column):
 
 
 PROVIDERS = {
-    "gemini": provider("gemini", F.expr(
-        "case when query_id % 3 = 0 then 'HTTP 429' when query_id % 5 = 0 then 'invalid key' end")),
-    "grok": provider("grok", F.expr("case when query_id % 2 = 0 then 'Request Timeout' end")),
-    "openai": provider("openai", F.expr("case when query_id % 7 = 0 then 'bad request' end")),
+    "gemini": provider(
+        "gemini", "case when query_id % 3 = 0 then 'HTTP 429' when query_id % 5 = 0 then 'invalid key' end"),
+    "grok": provider("grok", "case when query_id % 2 = 0 then 'Request Timeout' end"),
+    "openai": provider("openai", "case when query_id % 7 = 0 then 'bad request' end"),
 }
 
 
