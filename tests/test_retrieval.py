@@ -80,6 +80,26 @@ def test_knn_filtered(rows, items, queries):
     assert rows(got, "query_id", "id", "rank") == brute("dot", 9, admits)
 
 
+def test_copies_follow_the_items(spark, rows, items, queries, monkeypatch):
+    # Not the shuffle partitions: 200 copies of all query blocks went through the driver as a broadcast.
+    salts = lambda: spark.range(1).select(vectors._copies(items)).first()[0]
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert salts() == 1
+        monkeypatch.setattr(vectors, "ITEM_BLOCK", 7)
+        assert salts() == 11
+        monkeypatch.setattr(vectors, "SALT_BLOCKS", 1)
+        assert salts() == vectors.SALTS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    got = vectors.knn(items, queries, 12)
+    assert rows(got, "query_id", "id", "rank") == brute("dot", 12)
+    # The copies are in the size by which Spark chooses a broadcast.
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size(got) > size(items) * size(queries) * vectors.SALTS
+
+
 def test_knn_is_monotone_in_k_and_knows_string_ids(rows, items, queries):
     named = items.withColumn("id", F.format_string("v%03d", "id"))
     small = set(rows(vectors.knn(named, queries, 3), "query_id", "id"))
