@@ -36,6 +36,8 @@ def stream_new_reviews(stream: DataFrame, target: str, checkpoint: str) -> Strea
         # The small batch picks its known keys out of the large table first.
         known = keys.join(batch.select(*KEY), KEY, "left_semi")
         fresh = batch.join(known, KEY, "left_anti").select(*schema.names, "bucket")
+        # Each bucket in one task, so that a batch adds a file per bucket and not one per bucket and task.
+        fresh = fresh.repartition("bucket")
         fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
         batch.unpersist()
 

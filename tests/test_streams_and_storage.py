@@ -40,6 +40,25 @@ def test_stream_inserts_once_across_runs(spark, tmp_path, rows):
     assert ("g", "4", "old") in got and len(got) == 6
 
 
+def test_stream_writes_a_file_per_bucket(spark, tmp_path):
+    inbox, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.range(3000).select(
+        F.lit("g").alias("source"), F.col("id").cast("string").alias("source_review_id"),
+        F.lit("a").alias("review_text"), F.to_timestamp(F.lit("2024-01-01")).alias("review_date"),
+    ).write.parquet(inbox)
+    stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        reviews.stream_new_reviews(stream, target, checkpoint).awaitTermination()
+    finally:
+        spark.conf.unset(coalesce)
+    files_of = lambda d: len([f for f in os.listdir(d) if f.endswith(".parquet")])
+    buckets = [f"{target}/batch=0/{d}" for d in os.listdir(f"{target}/batch=0") if d.startswith("bucket=")]
+    assert len(buckets) == reviews.BUCKETS and all(files_of(d) == 1 for d in buckets)
+    assert spark.read.parquet(target).count() == 3000
+
+
 @pytest.fixture
 def events(spark):
     data = [(1, "2024-01-01 00:01:00", "m", 2.0), (2, "2024-01-01 00:59:59", "m", 8.0),
