@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -112,3 +113,13 @@ def test_hashing_embedder_has_unit_length(spark):
     assert np.linalg.norm(out[0]) == pytest.approx(1)
     assert not out[1].any() and not out[2].any()
     assert out[0] == pytest.approx(out[3])
+
+
+@pytest.mark.parametrize("dim", [16, 64, 48, 1 << 20])
+def test_hashing_embedder_places_words_by_md5(spark, dim):
+    df = spark.createDataFrame([("Quiet rooms, quiet street",)], "t string")
+    got = vectors.hashing_embedder(dim).transform(df, "t", "e").head().e
+    want = np.zeros(dim)
+    for word in ("quiet", "rooms,", "quiet", "street"):
+        want[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1
+    assert got == pytest.approx(want / np.linalg.norm(want))

@@ -3,6 +3,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from staylens.catalog import base
+from staylens.catalog.retrieval import sparse
 from staylens.functions.vectors import hashing_embedder
 from staylens.operators import retrieval, telemetry, vectors
 from staylens.operators.registry import Registry, complete_with, default_registries
@@ -197,6 +199,19 @@ def test_chunks_join_to_the_text(spark, text, budget):
         assert (len(chunk.split()) - 1) * 4 // 5 <= budget
 
 
+def test_texts_of_sparse_vectors_are_embedded_and_hashed_once(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "doc_id long, text string")
+    out = sparse(vectors.embed(texts, hashing_embedder(), "text"), "doc_id")
+    assert [r.id for r in out.collect()] == [1, 1]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    texts.selectExpr("doc_id", "'en' as lang", "'s' as source", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = base.QUERIES["v2_vector_docs"](spark, str(tmp_path))
+    assert [(r.id, r.weight) for r in docs.orderBy("weight").collect()] == [("1_chunk0", 0.447214), ("1_chunk0", 0.894427)]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    # Plans are read from below: the chunk is hashed before the vector becomes rows.
+    assert plan.count("md5(") == 1 and plan.index("posexplode(vector") < plan.index("sha2(")
+
+
 def test_embed_passes_bounded_batches(spark):
     def fn(texts):
         assert len(texts) <= 3
