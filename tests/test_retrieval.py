@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from staylens.catalog import base
-from staylens.catalog.retrieval import sparse
+from staylens.catalog.retrieval import K, shown, sparse, topics
 from staylens.functions.vectors import hashing_embedder
 from staylens.operators import retrieval, telemetry, vectors
 from staylens.operators.registry import Registry, complete_with, default_registries
@@ -212,6 +212,25 @@ def test_texts_of_sparse_vectors_are_embedded_and_hashed_once(spark, tmp_path):
     assert plan.count("md5(") == 1 and plan.index("posexplode(vector") < plan.index("sha2(")
 
 
+def test_index_deltas_make_their_items_once(spark, rows, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    data = [(i, ITEMS[i].tolist(), f"text {i}", i % 3, *PLACES[i % 3], 4.0) for i in range(40)]
+    items = spark.createDataFrame(data, "id long, embedding array<float>, review_text string, label int, "
+                                        "city string, country string, continent string, rating double")
+    t = base.tables_for(spark, str(tmp_path))
+    t._made["items"] = items.withColumn("review_text", read("review_text"))
+    t._made["embeddings"] = items.select(F.col("id").alias("vec_id"), "embedding", "label")
+    got = rows(base.QUERIES["k7_index_deltas"](spark, str(tmp_path)), "query_id", "id", "distance", "rank")
+    assert seen.value == 40
+    assert got == rows(shown(vectors.knn(items, topics(t), K)), "query_id", "id", "distance", "rank")
+
+
 def test_embed_passes_bounded_batches(spark):
     def fn(texts):
         assert len(texts) <= 3
