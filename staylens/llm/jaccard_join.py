@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,12 @@ CACHED_WORDS = 400_000
 BLOCK = 256
 #: Fine points have at most 4096 groups; with fewer the bound is weaker, never wrong.
 FINE_BITS = 12
-#: Keys a task holds before it passes their places on.
-HELD_KEYS = 2_000_000
-#: Size of the filter for keys that occur once: 8 MiB, whatever the input. Bits
-#: shared by chance only let more keys through to the exact count.
-KEY_BITS = 1 << 26
+#: Words hashed in one go; only memory and speed depend on it.
+WORDS_AT_ONCE = 20_000
+#: Keys a task holds before it passes them on.
+HELD_KEYS = 1_000_000
+#: Keys are dealt to 2048 slices.
+SLICE_BITS = 11
 PIVOT_ROUNDS = 1
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -65,24 +67,56 @@ class WordHashes(dict):
         return value
 
 
-def shingles(text: str, size: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text.
+def shingle_sets(texts: Iterable[str], size: int, known: WordHashes) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text.
 
     Words are separated by ASCII white space, A-Z count as a-z. A text with
     fewer words than a shingle is one shingle; without words it has none.
+    Texts are hashed together, some ten thousand words at a time.
     """
-    words = text.encode().lower().split()
-    if not words:
+    out: list[np.ndarray] = []
+    held: list[list[bytes]] = []
+    waiting = 0
+
+    def finish() -> None:
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(held)), np.uint64, waiting)
+        whole, start = _rolled(h, size), 0
+        for words in held:
+            n = len(words)
+            if n >= size:
+                found = whole[start: start + n - size + 1]
+                found.sort()
+                new = np.empty(len(found), bool)
+                new[0] = True
+                np.not_equal(found[1:], found[:-1], out=new[1:])
+                out.append(found[new])
+            else:
+                out.append(_rolled(h[start: start + n], n))
+            start += n
+        held.clear()
+
+    for text in texts:
+        words = text.encode().lower().split()
+        held.append(words)
+        waiting += len(words)
+        if waiting > WORDS_AT_ONCE:
+            finish()
+            waiting = 0
+    finish()
+    return out
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` consecutive word hashes, at each place that has so many."""
+    n = len(h) - size + 1
+    if size == 0 or n <= 0:
         return np.empty(0, np.uint64)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1
     out = np.full(n, size, np.uint64) * M1
     for k in range(size):
         out = mix((out ^ h[k: k + n]) + M1)
-    return np.unique(out)
+    return out
 
 
 class Bands:
@@ -138,10 +172,25 @@ def _point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
-def _number(hashes: np.ndarray) -> np.uint64:
-    """A 64-bit number for a set."""
-    f1, f2 = mix(hashes).sum(dtype=np.uint64), mix(hashes ^ M1).sum(dtype=np.uint64)
-    return mix(mix(np.array([f1]) + np.uint64(len(hashes))) ^ f2)[0]
+def _numbers(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit number for each set."""
+    sizes = np.array([len(s) for s in sets], np.uint64)
+    ends = np.cumsum(sizes).astype(np.int64)
+    starts = ends - sizes.astype(np.int64)
+    hashes = np.concatenate([np.empty(0, np.uint64), *sets])
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        # Sums wrap around, and so do their differences.
+        up_to = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        return up_to[ends] - up_to[starts]
+
+    return mix(mix(sums(mix(hashes)) + sizes) ^ sums(mix(hashes ^ M1)))
+
+
+def _read(column: pa.Array, size: int, known: WordHashes) -> tuple[list[np.ndarray], pa.Array]:
+    """Sets of the texts of a column, and their numbers."""
+    sets = shingle_sets(column.to_pylist(), size, known)
+    return sets, pa.array(_numbers(sets).view(np.int64))
 
 
 def _digested(docs: DataFrame, size: int) -> DataFrame:
@@ -150,84 +199,96 @@ def _digested(docs: DataFrame, size: int) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for frame in frames:
-            sets = [shingles(text.as_py(), size, known) for text in frame.column(1)]
+            sets, numbers = _read(frame.column(1), size, known)
             yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64))], names=["id", "n", "set"])
+                [frame.column(0), pa.array([len(s) for s in sets], pa.int64()), numbers], names=["id", "n", "set"])
 
     return docs.select("id", "body").mapInArrow(run, "id long, n long, set long")
 
 
-def repeated_keys(docs: DataFrame, size: int, num: int, den: int) -> bytes:
-    """Bitmap of fixed size in which the bits of all keys with several rows are set.
+def _sets_and_keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(id, n, set, key): the set of every row (key is null), and (set, key) of every key that several sets share.
 
-    A task passes on two bytes per key, ordered by the slice of the bitmap they belong to; the tasks that
-    merge them count each bit up to two, 64 KiB a slice, whatever the input.
+    Texts are read once. Of a key its slice, 32 more bits and its set travel,
+    packed per slice; a slice is one of 2048 parts of all keys, and what is not
+    repeated in it ends there. Keys that agree by chance only add candidates.
     """
+    schema = "slice int, id long, n long, set long, keys binary, sets binary"
+    names = ["slice", "id", "n", "set", "keys", "sets"]
 
-    def places(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bands, held, waiting = WordHashes(), Bands(num, den), [], 0
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bands = WordHashes(), Bands(num, den)
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+        counts: list[int] = []
+        waiting = 0
 
         def flushed() -> pa.RecordBatch:
-            bit = np.sort(np.concatenate([np.empty(0, np.int64), *held]))
-            slices, starts = np.unique(bit >> 16, return_index=True)
-            lows = [x.astype("<u2").tobytes() for x in np.split(bit & 0xFFFF, starts[1:])] if len(slices) else []
+            keys = np.concatenate([np.empty(0, np.uint64), *held])
+            sets = np.repeat(np.array(owners, np.int64), counts)
+            at = (keys >> np.uint64(64 - SLICE_BITS)).astype(np.uint16)
+            order = np.argsort(at, kind="stable")
+            slices, starts = np.unique(at[order], return_index=True)
+            rest = (keys[order] >> np.uint64(32 - SLICE_BITS)).astype("<u4")
+            ends = [*starts[1:].tolist(), len(keys)]
+            cut = list(zip(starts.tolist(), ends, strict=True)) if len(slices) else []
+            sets = sets[order].astype("<i8")
+            none = pa.nulls(len(slices), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(slices, pa.int64()), pa.array(lows, pa.binary())], names=["slice", "lows"])
+                [pa.array(slices.astype(np.int32)), none, none, none,
+                 pa.array([rest[x:y].tobytes() for x, y in cut], pa.binary()),
+                 pa.array([sets[x:y].tobytes() for x, y in cut], pa.binary())], names=names)
 
+        here: set[int] = set()
         for frame in frames:
-            for text in frame.column(0):
-                for keys in chunk_keys(shingles(text.as_py(), size, known), bands):
-                    held.append((keys & np.uint64(KEY_BITS - 1)).astype(np.int64))
+            sets, numbers = _read(frame.column(1), size, known)
+            ids = frame.column(0)
+            # Rows are dealt by id and set, so that copies lie apart.
+            spread = mix(numbers.to_numpy().view(np.uint64) ^ ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64))
+            none = pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((spread >> np.uint64(64 - SLICE_BITS)).astype(np.int32)), ids,
+                 pa.array([len(s) for s in sets], pa.int64()), numbers, none, none], names=names)
+            for given, own, number in zip(ids.is_valid().to_pylist(), sets, numbers.to_pylist(), strict=True):
+                if not given or number in here:
+                    continue
+                here.add(number)
+                for keys in chunk_keys(own, bands):
+                    held.append(keys)
+                    owners.append(number)
+                    counts.append(len(keys))
                     waiting += len(keys)
                 if waiting > HELD_KEYS:
                     yield flushed()
-                    held, waiting = [], 0
+                    here, waiting = set(), 0
+                    held.clear(), owners.clear(), counts.clear()
         yield flushed()
 
-    def merged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for at, lows in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                seen = counts.setdefault(at, np.zeros(1 << 16, np.uint8))
-                here = np.bincount(np.frombuffer(lows, "<u2"), minlength=1 << 16)
-                np.minimum(seen + np.minimum(here, 2), 2, out=seen, casting="unsafe")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.int64()),
-             pa.array([np.packbits(c > 1, bitorder="little").tobytes() for c in counts.values()], pa.binary())],
-            names=["slice", "bits"])
-
-    slices = (
-        docs.select("body").mapInArrow(places, "slice long, lows binary")
-        .repartition("slice").mapInArrow(merged, "slice long, bits binary"))
-    out = bytearray(KEY_BITS // 8)
-    # At most KEY_BITS / 65536 rows of 8 KiB.
-    for row in slices.collect():
-        out[row["slice"] * 8192: (row["slice"] + 1) * 8192] = row["bits"]
-    return bytes(out)
-
-
-def _keys_among(docs: DataFrame, size: int, num: int, den: int, bitmap_of_keys) -> DataFrame:
-    """(id, set, key) of the keys whose bit is set, made anew from the text."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known, bands = np.frombuffer(bitmap_of_keys.value, np.uint8), WordHashes(), Bands(num, den)
-        for frame in frames:
-            at, found, numbers = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for i, text in enumerate(frame.column(1)):
-                own = shingles(text.as_py(), size, known)
-                for keys in chunk_keys(own, bands):
-                    bit = (keys & np.uint64(KEY_BITS - 1)).astype(np.int64)
-                    keys = keys[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
-                    found.append(keys)
-                    at.append(np.full(len(keys), i))
-                    if len(keys):
-                        numbers.append(np.full(len(keys), _number(own)))
-            yield pa.RecordBatch.from_arrays(
-                [frame.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(numbers).view(np.int64)),
-                 pa.array(np.concatenate(found).view(np.int64))], names=["id", "set", "key"])
-
-    return docs.select("id", "body").mapInArrow(run, "id long, set long, key long")
+    def shared(part: pa.Table) -> pa.Table:
+        packed = part.filter(part.column("keys").is_valid())
+        keys = np.frombuffer(b"".join(packed.column("keys").to_pylist()), "<u4")
+        sets = np.frombuffer(b"".join(packed.column("sets").to_pylist()), "<i8")
+        order = np.argsort(keys)
+        same = np.diff(keys[order]) == 0
+        order = order[np.append(same, False) | np.insert(same, 0, False)] if len(keys) else order
+        order = order[np.lexsort((sets[order], keys[order]))]
+        keys, sets = keys[order].astype(np.int64), sets[order]
+        # A set counts once for a key, and a key needs two sets.
+        new = np.ones(len(keys), bool)
+        new[1:] = (np.diff(keys) != 0) | (np.diff(sets) != 0)
+        keys, sets = keys[new], sets[new]
+        _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+        several = n[at] > 1 if len(keys) else np.empty(0, bool)
+        keys, sets = keys[several], sets[several]
+        rows = part.filter(part.column("keys").is_null()).select(["id", "n", "set"])
+        here = part.column("slice")[0].as_py() << 32
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.concat_tables([
+            rows.append_column("key", pa.nulls(len(rows), pa.int64())),
+            pa.table({"id": none, "n": none, "set": pa.array(sets, pa.int64()), "key": pa.array(keys | here, pa.int64())})])
+
+    return docs.select("id", "body").mapInArrow(read, schema).groupBy("slice").applyInArrow(
+        shared, "id long, n long, set long, key long")
 
 
 def _fine_point(hashes: np.ndarray) -> np.ndarray:
@@ -254,9 +315,9 @@ def _points(docs: DataFrame, size: int) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for frame in frames:
-            sets = [shingles(t.as_py(), size, known) for t in frame.column(1)]
+            sets, numbers = _read(frame.column(1), size, known)
             yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64)),
+                [frame.column(0), numbers,
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_point(s) for s in sets], pa.list_(pa.int32())),
                  pa.array([_fine_point(s).astype("<u4").tobytes() for s in sets], pa.binary())],
@@ -272,10 +333,9 @@ def _hashes(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for frame in frames:
-            sets = [shingles(t.as_py(), size, known) for t in frame.column(1)]
+            sets, numbers = _read(frame.column(1), size, known)
             yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array(np.array([_number(s) for s in sets], np.uint64).view(np.int64)),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "id", "hashes"])
+                [frame.column(0), numbers, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "id", "hashes"])
 
     some = marked(docs, bitmap(wanted, "rep"), "id").where("is_set").select("id", "body")
     made = some.mapInArrow(run, "doc long, id long, hashes array<long>")
@@ -509,15 +569,13 @@ def _links(members: DataFrame, sets: DataFrame, hashes_of: Callable, num: int, d
 
 def _placed(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """id, n, set and component_id of each row of (id, body)."""
-    keyed = written(_digested(docs, shingle), "shingle-sets")
+    stored = written(_sets_and_keys(docs, shingle, num, den), "shingle-sets")
+    keyed = stored.where("key is null").select("id", "n", "set")
     linkable = F.col("id").isNotNull() & (F.col("n") > 0)
-    same = written(keyed.where(linkable).groupBy("set").agg(F.min("id").alias("rep")), "shingle-same")
     # Of copies one is compared. A set goes by its own number, since an id may have several texts.
-    copies = keyed.where(linkable).join(same, "set").where("id <> rep").select("set", "id").distinct()
+    same = written(keyed.where(linkable).groupBy("set").agg(F.min("id").alias("rep")), "shingle-same")
     named = docs.where("id is not null")
-    several = docs.sparkSession.sparkContext.broadcast(repeated_keys(named, shingle, num, den))
-    rows = _keys_among(named, shingle, num, den, several).join(copies, ["set", "id"], "left_anti")
-    rows = written(rows.select(F.col("set").alias("id"), "key").distinct(), "repeated-keys")
+    rows = stored.where("key is not null").select(F.col("set").alias("id"), "key")
     members = written(shared_keys(rows), "shared-keys")
     involved = written(
         members.select(F.col("id").alias("set")).distinct().join(same, "set").select("set", "rep"), "shared-sets")

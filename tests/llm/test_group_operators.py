@@ -369,3 +369,24 @@ def test_jaccard_of_a_cluster_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
     assert got == brute_jaccard(texts, 5, 4, 5)
+
+
+def test_jaccard_keys_of_single_sets_end_in_their_slice(spark):
+    words = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(words[100 * i: 100 * i + 100]) for i in range(60)]
+    texts += [texts[0] + " more", texts[1], None, "one"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[2] + " x")], "id long, body string")
+    found = jaccard_join._sets_and_keys(df.selectExpr("id", "coalesce(body, '') as body"), 3, 90, 100).collect()
+    rows = {r.id: r for r in found if r.key is None}
+    assert len(rows) == len(texts) + 1 and rows[62].n == 0 and rows[63].n == 1 and rows[60].n == 99
+    assert rows[61].set == rows[1].set and rows[None].n == 99
+    # Unrelated texts, copies and rows without an id leave no keys.
+    assert {r.set for r in found if r.key is not None} == {rows[0].set, rows[60].set}
+    assert all(r.id is None and r.n is None for r in found if r.key is not None)
+
+
+def test_drop_copies_leaves_texts_where_they_lie(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "b"), (4, None)], "doc_id long, text string")
+    kept = exact_dedup.drop_copies(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
