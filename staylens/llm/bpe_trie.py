@@ -6,6 +6,8 @@ prefix is the one token that ends there and keeps its border to the last token
 of the prefix before it. A trie of the distinct words of a batch therefore
 needs one last token per node: they are found depth-first, each from its
 ancestors on the path, so that a prefix shared by many words is encoded once.
+The trie is kept as its words in order, each with the length of the path it
+shares with the word before; only the path of the current word has nodes.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -47,6 +50,11 @@ class Merges:
             self.halves[both] = left, right, rank
         # All beginnings of tokens, each with the tokens that it ends with, once asked for.
         self.ends: dict[bytes, tuple] = {t[:n]: () for t in self.ids for n in range(1, len(t) + 1)}
+        # Of these, those met so far by number, with the number that the next byte leads to.
+        self.states: dict[bytes, int] = {b"": 0}
+        self.strings: list[bytes] = [b""]
+        self.found: list[tuple[tuple[int, int], ...]] = [()]
+        self.next: dict[int, int] = {}
         self.border: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -95,6 +103,23 @@ class Merges:
             self.alone[token] = known
         return known
 
+    def step(self, key: int) -> int:
+        """Number of the longest beginning of a token that ends a string and one more byte.
+
+        ``key``: the number for the string, times 256, plus the byte.
+        """
+        text = self.strings[key >> 8] + BYTES[key & 255]
+        while text not in self.ends:
+            text = text[1:]
+        state = self.states.get(text)
+        if state is None:
+            state = self.states[text] = len(self.strings)
+            self.strings.append(text)
+            self.found.append(self.ending(text))
+        if len(self.next) > 2_000_000:
+            self.next.clear()
+        self.next[key] = state
+        return state
 
     def ending(self, text: bytes) -> tuple[tuple[int, int], ...]:
         """(length, token) of the tokens that a string ends with, longest first."""
@@ -103,57 +128,62 @@ class Merges:
         return self.ends[text]
 
 
-def build_trie(words: list[bytes]) -> dict:
-    """Nested dictionaries by byte; ``END`` holds the number of the word that ends there."""
-    root: dict = {}
-    for number, word in enumerate(words):
-        node = root
-        for byte in word:
-            child = node.get(byte)
-            if child is None:
-                child = node[byte] = {}
-            node = child
-        node[END] = number
-    return root
+def build_trie(words: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """The trie of the words in depth-first order: number of a word, length of the path it shares, the word."""
+    before = b""
+    for number in sorted(range(len(words)), key=words.__getitem__):
+        word = words[number]
+        most = min(len(before), len(word))
+        shared = 0
+        if before[:most] == word[:most]:
+            shared = most
+        else:
+            while before[shared] == word[shared]:
+                shared += 1
+        yield number, shared, word
+        before = word
 
 
-def encode_trie(root: dict, n_words: int, merges: Merges) -> list[list[int]]:
+def encode_trie(trie: Iterable[tuple[int, int, bytes]], n_words: int, merges: Merges) -> list[list[int]]:
     """Ids of every word of a trie, by one depth-first pass.
 
     Besides its last token each node has the longest string that ends there and
     begins some token; the tokens that end there are its suffixes.
     """
     out: list[list[int]] = [[] for _ in range(n_words)]
-    ends, border, keeps = merges.ends, merges.border, merges.keeps_border
-    last, size, tail = [0], [0], [b""]
-    stack = [(node, byte, 1) for byte, node in root.items() if byte != END]
-    while stack:
-        node, byte, depth = stack.pop()
-        del last[depth:], size[depth:], tail[depth:]
-        suffix = tail[-1] + BYTES[byte]
-        while suffix not in ends:
-            suffix = suffix[1:]
-        for n, token in ends[suffix] or merges.ending(suffix):
-            if n == depth:
-                break
-            key = last[depth - n] << 32 | token
-            ok = border.get(key)
-            if ok is None:
-                ok = keeps(last[depth - n], token)
-            if ok:
-                break
-        last.append(token)
-        size.append(n)
-        tail.append(suffix)
-        for key, child in node.items():
-            if key == END:
-                found, at = [], depth
-                while at:
-                    found.append(last[at])
-                    at -= size[at]
-                out[child] = found[::-1]
-            else:
-                stack.append((child, key, depth + 1))
+    ends, border, keeps, following = merges.found, merges.border, merges.keeps_border, merges.next
+    last, size, states = [0], [0], [0]
+    for number, depth, word in trie:
+        if len(last) <= len(word):
+            more = [0] * (len(word) + 1 - len(last))
+            last += more
+            size += more
+            states += more
+        state = states[depth]
+        for byte in word[depth:] if depth else word:
+            key = state << 8 | byte
+            state = following.get(key)
+            if state is None:
+                state = merges.step(key)
+            depth += 1
+            for n, token in ends[state]:
+                if n == depth:
+                    break
+                pair = last[depth - n] << 32 | token
+                ok = border.get(pair)
+                if ok is None:
+                    ok = keeps(last[depth - n], token)
+                if ok:
+                    break
+            last[depth] = token
+            size[depth] = n
+            states[depth] = state
+        found = []
+        while depth:
+            found.append(last[depth])
+            depth -= size[depth]
+        found.reverse()
+        out[number] = found
     return out
 
 
@@ -175,6 +205,28 @@ def trie_encoder(path: str, merges: Merges | None = None) -> byte_bpe.Encoder:
     return byte_bpe.Encoder(tokenizer.token_to_id(byte_bpe.SPECIAL), encode)
 
 
+def decoder(texts: dict[int, bytes]) -> Callable[[bytes], bytes]:
+    """Bytes of packed ids: places in the bytes of all tokens, looked up for many ids at once."""
+    size, start = np.zeros(max(texts) + 1, np.int64), np.zeros(max(texts) + 1, np.int64)
+    for i, text in texts.items():
+        size[i] = len(text)
+    at = np.array(list(texts))
+    start[at] = np.cumsum(size[at]) - size[at]
+    every = np.frombuffer(b"".join(texts.values()), np.uint8)
+
+    def decode(packed: bytes) -> bytes:
+        out = []
+        ids = np.frombuffer(packed, "<u4")
+        for low in range(0, len(ids), 100_000):
+            part = ids[low: low + 100_000]
+            n = size[part]
+            ends = np.cumsum(n)
+            out.append(every[np.repeat(start[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+    return decode
+
+
 def encode_decode(
     df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
     with_ids: bool = True, with_text: bool = True,
@@ -182,8 +234,8 @@ def encode_decode(
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and ids and decoded if asked.
 
     A null text counts as empty and has no ids; the special token's string is
-    one id; decoding replaces bytes that are not UTF-8. Very long words are one
-    long path of the trie. Ids, null ids and repeated rows pass through; an
+    one id; decoding replaces bytes that are not UTF-8. Of the trie only
+    the path of one word is held. Ids, null ids and repeated rows pass through; an
     empty table gives an empty result. Other columns are ignored. No shuffle.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -191,7 +243,7 @@ def encode_decode(
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(tokenizer_path)
         encoder = trie_encoder(tokenizer_path, merges)
-        raw = {**merges.texts, encoder.special: byte_bpe.SPECIAL.encode()}.__getitem__
+        raw = decoder({**merges.texts, encoder.special: byte_bpe.SPECIAL.encode()})
         for frame in frames:
             texts = frame.column(1).to_pylist()
             for low, high in byte_bpe.batches(texts, 2048, 8_000_000):
@@ -199,12 +251,11 @@ def encode_decode(
                 rows = []
                 for text in texts[low:high]:
                     packed = encoder.encode(text)
-                    ids = array("I", packed)
-                    decoded = b"".join(map(raw, ids)).decode("utf-8", "replace")
+                    decoded = raw(packed).decode("utf-8", "replace")
                     rows.append((
-                        len(ids), hashlib.sha256(packed).hexdigest(),
+                        len(packed) // 4, hashlib.sha256(packed).hexdigest(),
                         hashlib.sha256(decoded.encode()).hexdigest(),
-                        ids.tolist() if with_ids else None, decoded if with_text else None,
+                        array("I", packed).tolist() if with_ids else None, decoded if with_text else None,
                     ))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(

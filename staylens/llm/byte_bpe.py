@@ -115,9 +115,10 @@ def pretokens(tokenizer) -> Callable[[str], list[bytes]]:
     by_library = tokenizer.pre_tokenizer.pre_tokenize_str
 
     def split(segment: str) -> list[bytes]:
-        if segment.isascii() and segment[1:].isalpha() and segment[0] == " ":
+        plain = segment.isascii() and segment.isprintable() or PLAIN.fullmatch(segment)
+        if plain and segment[1:].isalpha() and segment[0] == " ":
             return [segment.encode()]
-        if PLAIN.fullmatch(segment):
+        if plain:
             return [w.encode() for w in PRETOKEN.findall(segment)]
         return [bytes(map(from_letter.__getitem__, map(ord, w))) for w, _ in by_library(segment)]
 

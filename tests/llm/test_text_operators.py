@@ -309,3 +309,26 @@ def test_doubtful_findings_are_not_trained_on(spark):
     found = spark.createDataFrame([("", "0123abcd9876fedc", "our token is "), ("", "0123abcd9876fedc", "page ")],
                                   "path string, value string, before string")
     assert [r.label for r in secret_scan.rule_labels(found).collect()] == [None, 0.0]
+
+
+def test_trie_holds_the_path_of_one_word(tokenizer):
+    import tracemalloc
+
+    merges = bpe_trie.Merges(TOKENIZER)
+    words = [b" the", b" then", b" the", b" other", b"ab" * 100_000]
+    assert sorted(bpe_trie.build_trie(words[:4])) == [(0, 1, b" the"), (1, 4, b" then"), (2, 4, b" the"), (3, 0, b" other")]
+    bpe_trie.encode_trie(bpe_trie.build_trie([b"ab" * 1000]), 1, merges)
+    tracemalloc.start()
+    found = bpe_trie.encode_trie(bpe_trie.build_trie(words), len(words), merges)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] == found[2] and peak < 20_000_000
+    for word, ids in zip(words, found, strict=True):
+        assert tokenizer.encode(word.decode(), add_special_tokens=False).ids == ids
+
+
+def test_decoder_of_many_ids(tokenizer):
+    decode = bpe_trie.decoder({1: b"ab", 5: b"", 7: "é".encode()})
+    assert decode(b"") == b""
+    ids = np.array([1, 7, 5, 1] * 60_000, "<u4")
+    assert decode(ids.tobytes()).decode() == "abéab" * 60_000
