@@ -87,12 +87,16 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     found = written(_settled(df, id_col, text_col, {}), "exact-kept")
     per_id = found.groupBy("id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
-    touched = per_id.where("n_kept < n").select(F.col("id").alias("gone"))
+    # Stored, so that its size is known and texts are not shuffled to meet a few ids.
+    touched = written(
+        per_id.where("n_kept < n").select(F.col("id").alias("gone"), (F.col("n_kept") > 0).alias("mixed")), "exact-gone")
     text = text_or_empty(text_col)
     # The given columns travel as one, so that no name can clash.
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), text.alias("body"))
     kept = rows.join(touched, F.col("own").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
-    mixed = per_id.where("n_kept < n and n_kept > 0").select(F.col("id").alias("mixed"))
+    mixed = touched.where("mixed").select(F.col("gone").alias("mixed"))
+    if mixed.isEmpty():
+        return kept
     staying = found.where("kept").join(mixed, F.col("id").eqNullSafe(F.col("mixed"))).select("id", "size", "prefix", "digest")
     again = rows.join(
         staying,
