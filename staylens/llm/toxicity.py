@@ -4,14 +4,15 @@ A word is its own vector next to the mean of the vectors of its character
 n-grams, both hashed. Overlapping windows of words run through a gated recurrent
 network in both directions; attention pools its states into one logit. The score
 of a document is that of its highest window, for all windows of the whole text.
-The network is trained in numpy on a bounded sample of labelled rows. Only
-document labels exist, so in each round a toxic document stands for its highest
+The network is trained in numpy on a bounded sample of labelled rows, in one
+task: the driver sees its parameters, no texts. Only document labels exist, so in each round a toxic document stands for its highest
 window, and a clean document for its highest and a random one.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -355,7 +356,8 @@ def fit(
 ) -> Network:
     """A network from at most ``toxic_rows`` and ``clean_rows`` labelled rows, chosen by hash of the id.
 
-    Rows with a null id or label are left out. Only texts and labels reach the network.
+    Rows with a null id or label are left out. Only texts and labels reach the network. It is
+    trained in a task, so that neither texts nor what training needs take the driver's memory.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -364,8 +366,24 @@ def fit(
         known.where("y = 0").orderBy(order, "id").limit(clean_rows))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")).join(
         # At most toxic_rows + clean_rows rows.
-        F.broadcast(chosen), "id").select("id", "body", "y").orderBy("id", "body").toArrow()
-    return train(rows.column("body").to_pylist(), rows.column("y").to_pylist())
+        F.broadcast(chosen), "id").select("id", "body", "y")
+
+    def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        truth: list[int] = []
+        for frame in frames:
+            texts += frame.column(1).to_pylist()
+            truth += frame.column(2).to_pylist()
+        net = train(texts, truth)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pickle.dumps((net.p, net.scale, net.shift))], pa.binary())], names=["net"])
+
+    learned = rows.repartition(1).sortWithinPartitions("id", "body").mapInArrow(learn, "net binary").collect()
+    if not learned:
+        return train([], [])
+    net = Network()
+    net.p, net.scale, net.shift = pickle.loads(learned[0]["net"])
+    return net
 
 
 def score(

@@ -1,6 +1,7 @@
 """Deduplication, joins, models and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -219,6 +220,26 @@ def test_toxicity_on_held_out_texts(docs, spark):
     assert toxicity.score(docs(texts).limit(0), net).count() == 0
 
 
+def test_toxicity_is_learnt_in_a_task_from_all_chosen_rows(docs, spark, monkeypatch):
+    texts, labels = labelled_texts(2)
+    some = spark.createDataFrame(list(enumerate(labels[:60])), "doc_id long, toxic int")
+    given = docs(texts[:60]).repartition(5)
+    want, got = toxicity.train(texts[:60], labels[:60]), toxicity.fit(given, some)
+    assert (got.scale, got.shift) == pytest.approx((want.scale, want.shift))
+    assert all(np.allclose(got.p[k], want.p[k], atol=1e-4) and got.p[k].dtype == want.p[k].dtype for k in want.p)
+    nothing = toxicity.fit(given.limit(0), some)
+    assert (nothing.scale, nothing.shift) == (0.0, toxicity.train([], []).shift)
+
+    def seen(texts, labels, make=toxicity.Network):
+        net = make()
+        net.scale, net.shift = os.getpid(), (texts, labels)
+        return net
+
+    monkeypatch.setattr(toxicity, "train", seen)
+    net = toxicity.fit(given, some)
+    assert net.scale != os.getpid() and net.shift == (texts[:60], labels[:60])
+
+
 def test_weak_logits_still_give_a_cut():
     # The best F measure is below 0.5: one toxic row is highest, others lie among the clean ones.
     peak = np.linspace(2, -2, 200)
