@@ -224,33 +224,39 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     lengths = np.array([len(x) for x in numbers], np.int64)
     # A word for the padding of texts without words.
     vocabulary = list(index) or [b"0"]
-    del numbers, index
+    del numbers, index, texts
     bucket, begin, grams = flat_features(vocabulary)
-    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), np.diff(begin))
     doc, start, end = windows(lengths)
+    ends = np.cumsum(lengths)
+    # Parts of the vocabulary are worked on one after another, so that little is held at once.
+    slabs = [(k, min(k + 20_000, len(vocabulary))) for k in range(0, len(vocabulary), 20_000)]
     first = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
 
     def learn(dev: np.ndarray) -> tuple[Network, np.ndarray]:
         """A network from the rows outside ``dev``, and the highest logit of every row."""
         # Before the first round, windows are ranked by the log odds of their words' n-grams.
-        doc_of_word = np.repeat(np.arange(len(y)), lengths)
-        fit_words = ~dev[doc_of_word]
-        seen = np.unique(doc_of_word[fit_words] * len(vocabulary) + words[fit_words])
-        seen_doc, seen_word = np.divmod(seen, len(vocabulary))
         odds = np.zeros((2, GRAM_BUCKETS))
         for label in (0, 1):
-            counts = np.bincount(seen_word[y[seen_doc] == label], minlength=len(vocabulary))
-            odds[label] = np.bincount(grams, weights=counts[owner], minlength=GRAM_BUCKETS)
+            counts = np.zeros(len(vocabulary), np.int64)
+            for d in np.flatnonzero(~dev & (y == label)).tolist():
+                counts[np.unique(words[ends[d] - lengths[d]: ends[d]])] += 1
+            for low, high in slabs:
+                odds[label] += np.bincount(
+                    grams[begin[low]: begin[high]], weights=np.repeat(counts[low: high], np.diff(begin[low: high + 1])),
+                    minlength=GRAM_BUCKETS)
             odds[label] = np.log((odds[label] + 0.5) / (counts.sum() + 0.5 * GRAM_BUCKETS))
         gain = np.zeros(len(vocabulary))
-        some = begin[:-1] < begin[1:]
-        gain[some] = np.maximum.reduceat((odds[1] - odds[0])[grams], begin[:-1][some]) if some.any() else 0
-        strength = np.concatenate([gain[words], [0.0]]) if len(words) else np.zeros(1)
+        for low, high in slabs:
+            first_gram, own = begin[low: high] - begin[low], (odds[1] - odds[0])[grams[begin[low]: begin[high]]]
+            some = np.flatnonzero(np.diff(begin[low: high + 1]))
+            if len(some):
+                gain[low + some] = np.maximum.reduceat(own, first_gram[some])
         top = np.empty(len(doc), np.float32)
-        for k in range(0, len(doc), 8192):
-            at = start[k: k + 8192, None] + np.arange(WINDOW)
-            inside = at < end[k: k + 8192, None]
-            top[k: k + 8192] = np.sort(np.where(inside, strength[np.where(inside, at, 0)], -9), axis=1)[:, -2:].sum(1)
+        for k in range(0, len(doc), 1024):
+            at = start[k: k + 1024, None] + np.arange(WINDOW)
+            inside = at < end[k: k + 1024, None]
+            strength = gain[words[np.where(inside, at, 0)]] if len(words) else np.zeros(at.shape)
+            top[k: k + 1024] = np.sort(np.where(inside, strength, -9), axis=1)[:, -2:].sum(1)
 
         net = Network()
         slow = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -312,10 +318,11 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             # After the first rounds, windows are ranked by the model.
             every = max(1, turns // ROUNDS)
             if turn and (turn + 1) % every == 0 or turn == turns - 1:
-                projected = np.concatenate([
-                    net.project(net.inputs(word_features(vocabulary[k: k + 20_000])))
-                    for k in range(0, len(vocabulary), 20_000)], axis=1)
-                top = score_windows(net, projected, words, lengths)[3]
+                projected = np.empty((2, len(vocabulary), 3 * HIDDEN), np.float32)
+                for low, high in slabs:
+                    projected[:, low: high] = net.project(net.inputs(word_features(vocabulary[low: high])))
+                top = score_windows(net, projected, words, lengths, slab=256)[3]
+                del projected
         return net, np.maximum.reduceat(top, first)
 
     # Each class is dealt evenly over the folds.
@@ -375,6 +382,7 @@ def fit(
             texts += frame.column(1).to_pylist()
             truth += frame.column(2).to_pylist()
         net = train(texts, truth)
+        del texts, truth
         yield pa.RecordBatch.from_arrays(
             [pa.array([pickle.dumps((net.p, net.scale, net.shift))], pa.binary())], names=["net"])
 
