@@ -9,11 +9,14 @@ from staylens.session import shared_dir, store
 
 #: Rows that travel to Python at once; texts can be long, so fewer than Spark's default.
 ARROW_ROWS = 1000
+#: Bytes of such rows, about: a row can hold a long text, or all members of a block.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table; from here on this session sends small batches to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

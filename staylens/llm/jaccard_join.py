@@ -33,7 +33,7 @@ from staylens.llm.common import bitmap, components, marked, text_or_empty, writt
 #: Coordinates of a point.
 GROUPS = 64
 #: Words a task remembers; only memory and speed depend on it.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 #: Points of one R-tree; keys with more documents are cut into pairs of blocks.
 BLOCK = 256
 #: Fine points have at most 4096 groups; with fewer the bound is weaker, never wrong.
@@ -41,7 +41,7 @@ FINE_BITS = 12
 #: Words hashed in one go; only memory and speed depend on it.
 WORDS_AT_ONCE = 20_000
 #: Keys a task holds before it passes them on.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 400_000
 #: Keys are dealt to 2048 slices.
 SLICE_BITS = 11
 PIVOT_ROUNDS = 1
@@ -297,6 +297,17 @@ def _fine_point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A fine point in as few bytes a group as its largest count needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<")
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    raw = np.frombuffer(value.as_buffer(), np.uint8)
+    return raw[1:].view(f"<u{raw[0]}")
+
+
 def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """A count vector in fewer groups: neighbouring groups are added up."""
     return counts.reshape(groups, -1).sum(1)
@@ -320,7 +331,7 @@ def _points(docs: DataFrame, size: int) -> DataFrame:
                 [frame.column(0), numbers,
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_point(s) for s in sets], pa.list_(pa.int32())),
-                 pa.array([_fine_point(s).astype("<u4").tobytes() for s in sets], pa.binary())],
+                 pa.array([_packed(_fine_point(s)) for s in sets], pa.binary())],
                 names=["doc", "id", "n", "point", "fine"],
             )
 
@@ -367,7 +378,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, hashes_of: Callable, num: int,
     def fine(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             keep = [
-                _fine_reaches(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), num, den)
+                _fine_reaches(_unpacked(x), _unpacked(y), num, den)
                 for x, y in zip(frame.column(2), frame.column(3), strict=True)]
             yield frame.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -444,7 +455,7 @@ def _tree_candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def of_group(low: int, high: int, group: pa.StructArray) -> list[tuple[int, int]]:
         ids, comp, block = (group.field(c).to_numpy() for c in ("id", "comp", "block"))
-        fine = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in group.field("fine")]
+        fine = [_unpacked(x).astype(np.int64) for x in group.field("fine")]
         points = np.array([_folded(x, GROUPS) for x in fine])
         _, label = np.unique(comp, return_inverse=True)
         here, others = np.flatnonzero(block == low), np.flatnonzero(block == high)

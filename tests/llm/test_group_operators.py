@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from staylens.llm import embed_dedup, exact_dedup, jaccard_join, quality, toxicity
-from staylens.llm.common import components
+from staylens.llm.common import ARROW_BYTES, components, table
 
 TEXTS = [None, "", "a", "a", "b" * 100 + "1", "b" * 100 + "2", "b" * 100 + "1", "A", "é", "x" * 50000, "x" * 50000, " a"]
 
@@ -406,6 +407,27 @@ def test_jaccard_keys_of_single_sets_end_in_their_slice(spark):
     assert all(r.id is None and r.n is None for r in found if r.key is not None)
 
 
+def test_long_texts_reach_python_in_small_batches(spark, tmp_path):
+    spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 40000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(frames):
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([frame.num_rows]), pa.array([frame.nbytes])], names=["n", "bytes"])
+
+    found = table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 60
+    assert max(r.bytes for r in found) < ARROW_BYTES + 300_000
+
+
+def test_fine_points_travel_in_few_bytes(docs):
+    for counts in ([0, 3, 255, 1], [0, 256, 65535, 2], [1, 65536, 0, 0], [0, 0, 0, 0]):
+        packed = jaccard_join._packed(np.array(counts))
+        assert jaccard_join._unpacked(pa.scalar(packed, pa.binary())).tolist() == counts
+        assert len(packed) == 1 + 4 * (1 if max(counts) < 256 else 2 if max(counts) < 65536 else 4)
+    rows = jaccard_join._points(docs([" ".join(f"w{i}" for i in range(1000))]).selectExpr("doc_id AS id", "text AS body"), 3)
+    assert [(r.n, len(r.fine)) for r in rows.collect()] == [(998, 1 + 256)]
+
+
 def test_drop_copies_leaves_texts_where_they_lie(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "b"), (4, None)], "doc_id long, text string")
     kept = exact_dedup.drop_copies(df)
