@@ -256,10 +256,14 @@ def _neighbours(words: DataFrame, count: int, used) -> DataFrame:
 
 
 def near_words(words: DataFrame, count: int = SYMBOLS) -> DataFrame:
-    """(word, n, near, near_n): all ordered pairs of different words that one edit turns into each other."""
+    """(word, n, near, near_n): all ordered pairs of different words that one edit turns into each other.
+
+    The join is merged by hint: Spark sizes a neighbourhood like the stored words
+    it is made of, by some megabytes of file, and would broadcast its many rows.
+    """
     keyed = written(_keyed(words, count), "spelling-reduced")
     used = words.sparkSession.sparkContext.broadcast(used_bits(keyed))
-    pairs = _neighbours(words, count, used).join(keyed, "key")
+    pairs = _neighbours(words, count, used).join(keyed.hint("merge"), "key")
     apart = F.abs(F.length("word") - F.length("near")) <= 1
     return pairs.where(
         (F.col("word") != F.col("near")) & apart & (F.levenshtein("word", "near", 1) == 1)
@@ -272,6 +276,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     Pointers double in each round; counts at least double along a chain, so the
     rounds grow with the logarithm of that of the largest count. Words that
     arrived are looked up but no longer moved, so many words of one root do not meet again.
+    Joins are merged by hint, as rows take many times the file that Spark sizes them by.
     """
     state = written(forms.select("word", F.col("form").alias("to"), F.lit(False).alias("done")), "spelling-steps")
     while True:
@@ -279,7 +284,7 @@ def _roots(forms: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return state.select("word", F.col("to").alias("root"))
         ahead = state.select(F.col("word").alias("at"), F.col("to").alias("next"))
-        moved = open_.join(ahead, F.col("to") == F.col("at"), "left").select(
+        moved = open_.join(ahead.hint("merge"), F.col("to") == F.col("at"), "left").select(
             "word", F.coalesce("next", "to").alias("to"), F.col("next").isNull().alias("done"))
         state = written(state.where("done").union(moved), "spelling-steps")
 
@@ -302,4 +307,4 @@ def variant_groups(words: DataFrame, count: int = SYMBOLS) -> DataFrame:
         F.when(-F.col("best.rank") >= 2 * F.col("n"), F.col("best.near")).alias("form"),
         F.when(-F.col("best.rank") >= 2 * F.col("n"), -F.col("best.rank")).alias("form_n")), "spelling-forms")
     roots = _roots(joined.where("form is not null"))
-    return joined.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return joined.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

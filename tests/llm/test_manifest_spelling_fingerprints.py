@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staylens.llm import fingerprints, merkle, spelling
+from staylens.llm.common import written
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -127,6 +128,23 @@ def test_chain_of_forms(spark):
     assert {r.root for r in spelling.variant_groups(df).collect()} == {"aaaaa"}
 
 
+def test_stored_sizes_choose_no_broadcast(spark, monkeypatch):
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "written", lambda df, label: written(planned(df) if "steps" in label else df, label))
+    counts = [("aaaaa" + "b" * i, 2 ** (20 - i)) for i in range(9)]
+    df = written(spark.createDataFrame(counts, "word string, n long"), "words")
+    assert planned(spelling.near_words(df)).count() == 16
+    assert planned(spelling.variant_groups(df)).count() == 9
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 3
+    assert not any("BroadcastExchange" in p for p in joins)
+
+
 def test_count_words(docs, monkeypatch):
     monkeypatch.setattr(spelling, "PIECE_BYTES", 7)
     monkeypatch.setattr(spelling, "COUNTED_WORDS", 3)
